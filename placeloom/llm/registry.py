@@ -5,11 +5,13 @@ from __future__ import annotations
 from .media import op5_telephony_audio
 from .pii import op8_anchor_pii
 from .spm import op3_streaming_viterbi
+from .toxicity import op10_conv_toxicity
 
 QUERIES = {
     "op3_streaming_viterbi": op3_streaming_viterbi,
     "op5_telephony_audio": op5_telephony_audio,
     "op8_anchor_pii": op8_anchor_pii,
+    "op10_conv_toxicity": op10_conv_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
