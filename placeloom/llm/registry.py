@@ -6,8 +6,10 @@ from .media import op5_telephony_audio
 from .pii import op8_anchor_pii
 from .spm import op3_streaming_viterbi
 from .toxicity import op10_conv_toxicity
+from .urls import op2_boosted_urls
 
 QUERIES = {
+    "op2_boosted_urls": op2_boosted_urls,
     "op3_streaming_viterbi": op3_streaming_viterbi,
     "op5_telephony_audio": op5_telephony_audio,
     "op8_anchor_pii": op8_anchor_pii,
