@@ -94,6 +94,16 @@ class Trees(NamedTuple):
     rate: float
 
 
+def _rates(keys: np.ndarray, y: np.ndarray, rate: float) -> dict[str, float]:
+    """Shrunk share of blocked rows for each suffix that three rows at least have."""
+    sums: dict[str, list[float]] = {}
+    for key, t in zip(keys, y, strict=True):
+        own = sums.setdefault(key, [0.0, 0])
+        own[0] += t
+        own[1] += 1
+    return {k: (a + 10 * rate) / (n + 10) for k, (a, n) in sums.items() if n >= 3}
+
+
 def features(urls, rates: list[dict[str, float]], rate: float) -> np.ndarray:
     rows = [[*lexical(u), *(r.get(s, rate) for r, s in zip(rates, suffixes(u), strict=True))] for u in urls]
     return np.array(rows, np.float64).reshape(len(rows), -1)
@@ -109,18 +119,14 @@ def fit(urls: list[str | None], blocked: list[int]) -> Trees:
     none = Trees([], np.zeros((0, 0), int), np.zeros((0, 0), int), np.zeros((0, 0)), float(np.clip(math.log((rate + 1e-6) / (1 - rate + 1e-6)), -13, 13)), [{}, {}, {}], rate)
     if len(set(blocked)) < 2:
         return none
-    seen: list[dict[str, list[float]]] = [{}, {}, {}]
-    own = [suffixes(u) for u in urls]
-    for s, t in zip(own, y, strict=True):
-        for table, key in zip(seen, s, strict=True):
-            sums = table.setdefault(key, [0.0, 0.0])
-            sums[0] += t
-            sums[1] += 1
-    rates = [{k: (a + 10 * rate) / (n + 10) for k, (a, n) in t.items() if n >= 3} for t in seen]
+    own = np.array([suffixes(u) for u in urls], dtype=object)
+    fold = np.arange(len(y)) % 5
+    rates = [_rates(own[:, k], y, rate) for k in range(own.shape[1])]
     x = features(urls, rates, rate)
-    for k, s in enumerate(zip(*own, strict=True)):  # a training row's own label does not count in its statistics
-        sums = np.array([seen[k][key] for key in s])
-        x[:, x.shape[1] - 3 + k] = np.where(sums[:, 1] >= 3, (sums[:, 0] - y + 10 * rate) / (sums[:, 1] + 9), rate)
+    for k in range(own.shape[1]):  # a training row's statistics come from the other folds, so they do not hold its label
+        for f in range(5):
+            other = _rates(own[fold != f, k], y[fold != f], rate)
+            x[fold == f, x.shape[1] - own.shape[1] + k] = [other.get(s, rate) for s in own[fold == f, k]]
     edges = [np.unique(np.quantile(x[:, k], np.arange(1, BINS) / BINS)) for k in range(x.shape[1])]
     b = binned(x, edges)
     n, width = b.shape
