@@ -49,6 +49,17 @@ def test_streaming_equals_full_lattice(table):
             assert score(spm.viterbi(s, table), s, table) == pytest.approx(brute(s, table), abs=1e-6)
 
 
+def test_lanes_equal_the_window(table):
+    r = random.Random(6)
+    words = ["".join(r.choice(a) for _ in range(r.randint(1, 60))) for a in ("abcdeit", "therinationü☃中", f"th{spm.SPACE}") for _ in range(300)]
+    codec = spm.Codec(table)
+    flat, counts = codec._distinct(words)
+    at = 0
+    for w, n in zip(words, counts, strict=True):
+        assert flat[at : at + n].tolist() == spm.viterbi(w, table)
+        at += n
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(text):
