@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .fingerprint import op7_minhash_fingerprints
 from .media import op5_telephony_audio
+from .omh import op6_order_minhash
 from .pii import op8_anchor_pii
 from .spm import op3_streaming_viterbi
 from .toxicity import op10_conv_toxicity
 from .urls import op2_boosted_urls
 
 QUERIES = {
+    "op6_order_minhash": op6_order_minhash,
+    "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op2_boosted_urls": op2_boosted_urls,
     "op3_streaming_viterbi": op3_streaming_viterbi,
     "op5_telephony_audio": op5_telephony_audio,
