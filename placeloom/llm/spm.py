@@ -43,7 +43,7 @@ from .common import documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches of up to WIDE characters run in lanes, LANES at once; longer ones alone, through the window. Characters encoded at once.
-WIDE, LANES, CHARS = 48, 20_000, 8_000_000
+WIDE, LANES, CHARS = 48, 10_000, 1_500_000
 #: Odd multipliers of the piece hash and of its table.
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
