@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprint import op7_minhash_fingerprints
+from .lm import op1_deleted_interpolation
 from .media import op5_telephony_audio
 from .omh import op6_order_minhash
 from .pii import op8_anchor_pii
@@ -11,6 +12,7 @@ from .toxicity import op10_conv_toxicity
 from .urls import op2_boosted_urls
 
 QUERIES = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op6_order_minhash": op6_order_minhash,
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op2_boosted_urls": op2_boosted_urls,
