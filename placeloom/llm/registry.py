@@ -7,6 +7,7 @@ from .lm import op1_deleted_interpolation
 from .media import op5_telephony_audio
 from .omh import op6_order_minhash
 from .pii import op8_anchor_pii
+from .rlz import op4_lz_substrings
 from .spm import op3_streaming_viterbi
 from .toxicity import op10_conv_toxicity
 from .urls import op2_boosted_urls
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op2_boosted_urls": op2_boosted_urls,
     "op3_streaming_viterbi": op3_streaming_viterbi,
+    "op4_lz_substrings": op4_lz_substrings,
     "op5_telephony_audio": op5_telephony_audio,
     "op8_anchor_pii": op8_anchor_pii,
     "op10_conv_toxicity": op10_conv_toxicity,
