@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprint import op7_minhash_fingerprints
 from .lm import op1_deleted_interpolation
 from .media import op5_telephony_audio
+from .mixing import op9_raked_mixture
 from .omh import op6_order_minhash
 from .pii import op8_anchor_pii
 from .rlz import op4_lz_substrings
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_lz_substrings": op4_lz_substrings,
     "op5_telephony_audio": op5_telephony_audio,
     "op8_anchor_pii": op8_anchor_pii,
+    "op9_raked_mixture": op9_raked_mixture,
     "op10_conv_toxicity": op10_conv_toxicity,
 }
 
