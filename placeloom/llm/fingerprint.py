@@ -157,6 +157,15 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [np.frombuffer(p, np.int64) for p in part.column("payload").to_pylist()]
+            which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(which)), pa.array(np.concatenate(sets)), pa.array(np.ones(len(which), np.int64))], names=["node", "shingle", "times"])
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class): documents joined on signature bands, Jaccard of the shingle sets verified; class is the smallest doc_id."""
     found = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, node binary, bands array<long>, payload binary"), "signatures")
@@ -165,7 +174,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def payloads(nodes: DataFrame) -> DataFrame:
         return found.select("node", "payload").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload"))
 
-    _, roots = link(bands, payloads, lambda pairs: _verified(pairs, threshold))
+    _, roots = link(bands, payloads, lambda pairs: _verified(pairs, threshold), lambda pool: pool.select("node", "payload").mapInArrow(_shingles, "node binary, shingle long, times long"), threshold)
     first = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = first.join(first.groupBy("root").agg(F.min("first").alias("class")), "root").select("node", "class")
     return found.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class"))
