@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -70,6 +71,21 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.col(col).cast("string")) % n
 
 
+def arrow_rows(rows: list[list], ddl: str) -> pa.RecordBatch:
+    """Rows as a record batch of the columns ``name type, name type ...``."""
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[tuple]:
+    """Rows of record batches as tuples, n at a time as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, n).columns), strict=True)
+
+
 # ---- tokens -----------------------------------------------------------------
 
 

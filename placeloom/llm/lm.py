@@ -41,11 +41,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, byte_words, documents, encode_words, mix, pack, pack_sorted, save, unpack, unpack_sorted
+from .common import arrow_rows, bucket_bounds, byte_words, documents, encode_words, few_rows, mix, pack, pack_sorted, save, unpack, unpack_sorted
 
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 #: Distinct n-grams of a chunk that fall into one hash range, over all chunks: about this many entries are summed at once.
-ENTRIES = 1_500_000
+ENTRIES = 1_000_000
 END, START = b" ", np.uint64(0x5354415254)
 HELD_OUT, DELETED, KEPT = 0, 1, 2
 BUCKETS = 40
@@ -66,26 +66,24 @@ def _pack_chunk(ids: list, parts: list[int], docs: list[list[bytes]], deleted: b
 
 
 def _chunks(folds: int, held: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CHUNK_DDL.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[bool, tuple[list, list, list]] = {True: ([], [], []), False: ([], [], [])}
         size = {True: 0, False: 0}
-        for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                i = None if pd.isna(i) else int(i)
-                fold = None if i is None else zlib.crc32(str(i).encode()) % folds
-                part = HELD_OUT if fold == held else DELETED if fold == held + 1 else KEPT
-                own = open_[part == DELETED]
-                own[0].append(i)
-                own[1].append(part)
-                own[2].append([*byte_words(text, lower=True), END])
-                size[part == DELETED] += len(text or "") + 1
-                if size[part == DELETED] >= CHUNK:
-                    yield pd.DataFrame([_pack_chunk(*own, part == DELETED)], columns=columns)
-                    open_[part == DELETED], size[part == DELETED] = ([], [], []), 0
+        for i, text in few_rows(batches):
+            fold = None if i is None else zlib.crc32(str(i).encode()) % folds
+            part = HELD_OUT if fold == held else DELETED if fold == held + 1 else KEPT
+            own = open_[part == DELETED]
+            own[0].append(i)
+            own[1].append(part)
+            own[2].append([*byte_words(text, lower=True), END])
+            size[part == DELETED] += len(text or "") + 1
+            if size[part == DELETED] >= CHUNK:
+                yield arrow_rows([_pack_chunk(*own, part == DELETED)], CHUNK_DDL)
+                own = None
+                open_[part == DELETED], size[part == DELETED] = ([], [], []), 0
         for deleted, own in open_.items():
             if own[0]:
-                yield pd.DataFrame([_pack_chunk(*own, deleted)], columns=columns)
+                yield arrow_rows([_pack_chunk(*own, deleted)], CHUNK_DDL)
 
     return run
 
@@ -256,7 +254,7 @@ def _scores(weights: np.ndarray, n: float, v: float, kept_docs: int, train_docs:
 
 def interpolated_scores(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """Score every text (doc_id, text); documents with crc32(doc_id) % folds == held teach nothing, those of the next fold are the deleted part."""
-    chunks = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_chunks(folds, held), CHUNK_DDL), "chunks")
+    chunks = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks(folds, held), CHUNK_DDL), "chunks")
     total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_docs", "train_tokens", "kept_docs", "kept_tokens")], F.count("*").alias("n")).first()
     ranges = max(1, -(-total["n_tokens"] // ENTRIES))
     asked = chunks.mapInPandas(_ask(ranges), ASK_DDL)
