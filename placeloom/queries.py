@@ -44,6 +44,18 @@ def _pois(spark, sf) -> DataFrame:
     return osm.index_rows(rows, _SUBS())
 
 
+def _parts(spark, sf) -> DataFrame:
+    """What text and tag search need of the index rows of parts."""
+    rows = _nodes(spark, sf).where(F.col("tags")["name"].isNotNull())
+    return rows.select(F.col("id").alias("doc_id"), F.array(F.col("tags")["name"]).alias("content"), osm.indexed_tags(F.col("tags")).alias("indexed_tag"))
+
+
+def _placed(spark, sf) -> DataFrame:
+    """_parts with cells and what results show."""
+    cells = s2.with_cell(_nodes(spark, sf), "lat", "lng", "s2cell").select(F.col("id").alias("doc_id"), "s2cell", s2.ancestors(F.col("s2cell")).alias("s2cell_parents"), "tags", F.lit("osm").alias("source"))
+    return _parts(spark, sf).join(cells, "doc_id")
+
+
 def _SUBS():  # noqa: N802
     return roads.subs_map({k: roads.parse_lines(v) for k, v in roads.SAMPLE.items()})
 
@@ -108,14 +120,14 @@ def fn11_agg11_centroid(spark, sf):
     return got.where((F.size("points") <= 2) | (F.abs(area) > 1)).select("id", F.round("c.x", 3).alias("lat"), F.round("c.y", 3).alias("lng"))
 
 
-@query("SELECT p_partkey AS id, array_to_string(list_filter(['amenity=' || p_type, if(p_partkey % 5 = 0, 'diet:vegan=yes', NULL), 'shop=' || p_brand], x -> x IS NOT NULL), ',') AS indexed FROM part")
+@query("SELECT p_partkey AS id, array_to_string(list_filter(['amenity=' || p_type, if(p_partkey % 5 = 0, 'diet:vegan=yes', NULL), 'shop=' || p_brand], lambda x: x IS NOT NULL), ',') AS indexed FROM part")
 def fil12_top4_indexed_tags(spark, sf):
     return _nodes(spark, sf).select("id", F.array_join(osm.indexed_tags(F.col("tags")), ",").alias("indexed"))
 
 
 # ---- text ------------------------------------------------------------------------
 
-_WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), x -> strlen(x) <= 40)"
+_WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: strlen(x) <= 40)"
 
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term")
@@ -145,7 +157,7 @@ def fn8_possessive(spark, sf):
 _LINES = ", ".join(f"('{lang}', {i}, '{line}')" for lang, lines in roads.SAMPLE.items() for i, line in enumerate(lines))
 
 
-@query(f"WITH l(lang, no, line) AS (VALUES {_LINES}), p AS (SELECT lang, no, string_split(line, '|') AS parts FROM l), k AS (SELECT lang, no, parts, unnest(list_distinct(parts)) AS key FROM p), u AS (SELECT lang, key, no, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM k), f AS (SELECT lang, key, s, min(no * 1000 + i) AS at FROM u GROUP BY ALL) SELECT lang, key, string_agg(s, '|' ORDER BY at) AS subs FROM f GROUP BY lang, key")
+@query(f"WITH l(lang, no, line) AS (VALUES {_LINES}), p AS (SELECT lang, no, string_split(line, '|') AS parts FROM l), k AS (SELECT lang, no, parts, unnest(list_distinct(parts)) AS key FROM p), u AS (SELECT lang, key, no, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM k), f AS (SELECT lang, key, s, min(no * 1000 + i) AS seen FROM u GROUP BY ALL) SELECT lang, key, string_agg(s, '|' ORDER BY seen) AS subs FROM f GROUP BY lang, key")
 def src9_fn9_agg7_dictionary(spark, sf):
     return roads.dictionary(roads.sample_lines(spark)).select("lang", "key", F.array_join("subs", "|").alias("subs"))
 
@@ -229,7 +241,7 @@ def _in_cells(c: str) -> str:
 @query(f"SELECT id FROM ({_LEVEL12}) WHERE {_in_cells('c')}")
 def fil14_fn19_bbox(spark, sf):
     cells = F.array(*[F.lit(c if c < 1 << 63 else c - (1 << 64)) for c in _CELLS])
-    return _pois(spark, sf).where(F.arrays_overlap("s2cell_parents", cells)).select(F.col("doc_id").alias("id"))
+    return _placed(spark, sf).where(F.arrays_overlap("s2cell_parents", cells)).select(F.col("doc_id").alias("id"))
 
 
 # ---- areas -------------------------------------------------------------------------
@@ -287,7 +299,7 @@ def src8_j4_fil6_areas(spark, sf):
     return enrich.areas(_polygons(spark, sf), _place(spark, sf)).select("id", "type")
 
 
-@query("SELECT 1000 + n_nationkey AS id, lower(n_name) || '|u ' || lower(n_name) AS names FROM nation")
+@query("SELECT (1000 + n_nationkey)::BIGINT AS id, lower(n_name) || '|u ' || lower(n_name) AS names FROM nation")
 def j5_fil7_agg5_names(spark, sf):
     return enrich.area_names(_names(spark, sf)).select("id", F.array_join("names", "|").alias("names"))
 
@@ -335,65 +347,66 @@ def _hits(spark, sf, requests, docs=False) -> DataFrame:
         post, tags = postings(_doc_rows(spark, sf)), spark.createDataFrame([], "tag string, doc_id long")
         n = _t(spark, sf, "documents").count()
     else:
-        pois = _pois(spark, sf)
+        pois = _parts(spark, sf)
         post, tags, n = postings(pois), tag_postings(pois), pois.count()
-    got = search.must_hits(search.clause_table(spark, requests), post, tags, vocabulary(post), F.lit(float(n)))
+    got = search.must_hits(requests, post, tags, vocabulary(post), F.lit(float(n)))
     return got.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_POST} SELECT 1 AS query_id, doc_id, round({1.05**5} * {_IDF.format('df')}, 4) AS score FROM (SELECT DISTINCT doc_id, term FROM tok) JOIN v USING (term) WHERE term = 'small'")
+@query(f"WITH {_POST} SELECT 1::BIGINT AS query_id, doc_id, round({1.05**5} * {_IDF.format('df')}, 4) AS score FROM (SELECT DISTINCT doc_id, term FROM tok) JOIN v USING (term) WHERE term = 'small'")
 def qry5_exact(spark, sf):
     return _hits(spark, sf, [Request(1, "small")])
 
 
-@query(f"WITH {_POST} SELECT DISTINCT 2 AS query_id, doc_id, round({1.05**2}, 4) AS score FROM tok WHERE starts_with(term, 'ri')")
+@query(f"WITH {_POST} SELECT DISTINCT 2::BIGINT AS query_id, doc_id, round({1.05**2}, 4) AS score FROM tok WHERE starts_with(term, 'ri')")
 def qry6_prefix(spark, sf):
     return _hits(spark, sf, [Request(2, "ri", lenient=True)])
 
 
-@query(f"WITH {_DOC_POST} SELECT DISTINCT 4 AS query_id, doc_id, round({1.05**9 + 1.05**3}, 4) AS score FROM tok WHERE damerau_levenshtein(term, 'worhtless') <= 1 AND doc_id IN (SELECT doc_id FROM tok WHERE starts_with(term, 'the'))")
+@query(f"WITH {_DOC_POST} SELECT DISTINCT 4::BIGINT AS query_id, doc_id, round({1.05**9 + 1.05**3}, 4) AS score FROM tok WHERE damerau_levenshtein(term, 'worhtless') <= 1 AND doc_id IN (SELECT doc_id FROM tok WHERE starts_with(term, 'the'))")
 def qry4_fuzzy(spark, sf):
     return _hits(spark, sf, [Request(4, "worhtless the", lenient=True)], docs=True)
 
 
-@query(f"WITH {_DOC_POST} SELECT DISTINCT 3 AS query_id, doc_id, round({1.05**8}, 4) AS score FROM tok WHERE damerau_levenshtein(left(term, 7), 'thintino') <= 1 OR damerau_levenshtein(left(term, 8), 'thintino') <= 1 OR damerau_levenshtein(left(term, 9), 'thintino') <= 1")
+@query(f"WITH {_DOC_POST} SELECT DISTINCT 3::BIGINT AS query_id, doc_id, round({1.05**8}, 4) AS score FROM tok WHERE damerau_levenshtein(left(term, 7), 'thintino') <= 1 OR damerau_levenshtein(left(term, 8), 'thintino') <= 1 OR damerau_levenshtein(left(term, 9), 'thintino') <= 1")
 def qry3_fuzzy_prefix(spark, sf):
     return _hits(spark, sf, [Request(3, "thintino", lenient=True)], docs=True)
 
 
-@query("SELECT 7 AS query_id, p_partkey AS doc_id, round(%s + %s, 4) AS score FROM part, (SELECT count(*)::DOUBLE AS n, count(*) FILTER (p_brand = 'Brand#13') AS b, count(*) FILTER (p_partkey %% 5 = 0) AS d FROM part) WHERE p_brand = 'Brand#13' AND p_partkey %% 5 = 0" % ("ln(1 + (n - b + 0.5) / (b + 0.5))", "ln(1 + (n - d + 0.5) / (d + 0.5))"))
+@query("SELECT 7::BIGINT AS query_id, p_partkey AS doc_id, round(%s + %s, 4) AS score FROM part, (SELECT count(*)::DOUBLE AS n, count(*) FILTER (p_brand = 'Brand#13') AS b, count(*) FILTER (p_partkey %% 5 = 0) AS d FROM part) WHERE p_brand = 'Brand#13' AND p_partkey %% 5 = 0" % ("ln(1 + (n - b + 0.5) / (b + 0.5))", "ln(1 + (n - d + 0.5) / (d + 0.5))"))
 def qry7_fil13_tags(spark, sf):
     return _hits(spark, sf, [Request(7, "", tags=("shop=Brand#13", "diet:vegan=yes"))])
 
 
 def _phrases(spark, sf, request) -> DataFrame:
-    pois = _pois(spark, sf)
+    pois = _parts(spark, sf)
     post = postings(pois)
     table = search.clause_table(spark, [request]).where("not must")
     got = search.phrase_hits(table, post, vocabulary(post), F.lit(float(pois.count())))
     return got.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_POST} SELECT 8 AS query_id, a.doc_id, round({1.05**10} * ({_IDF.format('va.df')} + {_IDF.format('vb.df')}), 4) AS score FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN v va ON va.term = a.term JOIN v vb ON vb.term = b.term WHERE a.term = 'small' AND b.term = 'ring'")
+@query(f"WITH {_POST} SELECT 8::BIGINT AS query_id, a.doc_id, round({1.05**10} * ({_IDF.format('va.df')} + {_IDF.format('vb.df')}), 4) AS score FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN v va ON va.term = a.term JOIN v vb ON vb.term = b.term WHERE a.term = 'small' AND b.term = 'ring'")
 def qry2_phrase(spark, sf):
     return _phrases(spark, sf, Request(8, "small ring", remote=True))
 
 
-@query(f"WITH {_POST} SELECT 9 AS query_id, a.doc_id, round({1.05**7} * {_IDF.format('va.df')}, 4) AS score FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN v va ON va.term = a.term WHERE a.term = 'small' AND starts_with(b.term, 'r')")
+@query(f"WITH {_POST} SELECT 9::BIGINT AS query_id, a.doc_id, round({1.05**7} * {_IDF.format('va.df')}, 4) AS score FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN v va ON va.term = a.term WHERE a.term = 'small' AND starts_with(b.term, 'r')")
 def qry1_phrase_prefix(spark, sf):
     return _phrases(spark, sf, Request(9, "small r"))
 
 
 def _ranked(spark, sf, requests, top=10) -> DataFrame:
-    pois = _pois(spark, sf)
-    got = search.ranked(postings(pois), tag_postings(pois), pois, requests, top)
+    parts = _parts(spark, sf)
+    pois = _placed(spark, sf) if any(r.box for r in requests) else parts
+    got = search.ranked(postings(parts), tag_postings(parts), pois, requests, top)
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
 
 
 def _search_sql(query_id: int, first: str, prefix: str, among: str = "SELECT p_partkey FROM part", top: int = 10) -> str:
     """Must: first exactly, prefix as a prefix; Should: both as a phrase prefix."""
     b1, b2, b3 = (text.boost_of(x) for x in (first, prefix, f"{first} {prefix}"))
-    return f"""SELECT {query_id} AS query_id, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank, doc_id, round(s, 4) AS score FROM (
+    return f"""SELECT {query_id}::BIGINT AS query_id, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank, doc_id, round(s, 4) AS score FROM (
     SELECT a.doc_id, {b1} * {_IDF.format('va.df')} + {b2} + coalesce(max(CASE WHEN starts_with(p.term, '{prefix}') THEN {b3} * {_IDF.format('va.df')} END), 0) AS s
     FROM tok a JOIN v va ON va.term = a.term JOIN (SELECT DISTINCT doc_id FROM tok WHERE starts_with(term, '{prefix}')) b ON a.doc_id = b.doc_id LEFT JOIN tok p ON p.doc_id = a.doc_id AND p.pos = a.pos + 1
     WHERE a.term = '{first}' AND a.doc_id IN ({among}) GROUP BY a.doc_id, va.df) QUALIFY rank <= {top}"""
@@ -454,8 +467,8 @@ def agg4_count(spark, sf):
 
 @query(f"WITH {_POST} SELECT row_number() OVER (ORDER BY rank) AS rank, round({SQL_LAT.format(k='doc_id')}, 4) + 0.0 AS lat, round({SQL_LNG.format(k='doc_id')}, 4) + 0.0 AS lng, p_name AS name FROM ({_search_sql(1, 'small', 'ri')}) JOIN part ON p_partkey = doc_id")
 def j10_prj3_results(spark, sf):
-    pois = _pois(spark, sf)
-    best = search.ranked(postings(pois), tag_postings(pois), pois, [Request(1, "small ri", lenient=True)])
+    parts, pois = _parts(spark, sf), _placed(spark, sf)
+    best = search.ranked(postings(parts), tag_postings(parts), parts, [Request(1, "small ri", lenient=True)])
     got = search.results(best, pois)
     return got.select(F.col("rank").cast("long").alias("rank"), (F.round("lat", 4) + 0.0).alias("lat"), (F.round("lng", 4) + 0.0).alias("lng"), F.col("tags")["name"].alias("name"))
 
