@@ -8,7 +8,7 @@ from .media import op5_telephony_audio
 from .mixing import op9_raked_mixture
 from .omh import op6_order_minhash
 from .pii import op8_anchor_pii
-from .rlz import op4_lz_substrings
+from .rlz import OP4_SQL, op4_lz_substrings
 from .spm import op3_streaming_viterbi
 from .toxicity import op10_conv_toxicity
 from .urls import op2_boosted_urls
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_conv_toxicity": op10_conv_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_lz_substrings": OP4_SQL}

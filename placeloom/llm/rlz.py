@@ -311,3 +311,15 @@ class Parsed:
 
 def op4_lz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Parsed(documents(spark, sf_dir)).digests()
+
+
+#: The definition by all windows, for the tables as they are (ids neither null nor repeated).
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, p AS pos, array_to_string(list_slice(ws, p, p + 19), ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS p FROM w)),
+dup AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM win) WHERE r > 1),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+f AS (SELECT t.doc_id, t.pos, word, coalesce(max(if(dup.pos IS NULL, 0, 1)) OVER (PARTITION BY t.doc_id ORDER BY t.pos ROWS 19 PRECEDING), 0) AS gone FROM t LEFT JOIN dup ON t.doc_id = dup.doc_id AND t.pos = dup.pos),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM f GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""

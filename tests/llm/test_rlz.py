@@ -53,6 +53,16 @@ def test_equals_all_windows(spark, tmp_path, seed, chunk, monkeypatch):
     assert got == brute(rows)
 
 
+def test_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = {tuple(r) for r in rlz.op4_lz_substrings(spark, sf).collect()}
+    assert got == set(con.sql(rlz.OP4_SQL).fetchall())
+
+
 def test_factors_point_to_equal_words(spark):
     rows = corpus(4)
     words = {i: (t or "").split() for i, t in rows}
