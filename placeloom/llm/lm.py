@@ -37,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +58,9 @@ def _pack_chunk(ids: list, parts: list[int], docs: list[list[bytes]], deleted: b
     part = np.array(parts, np.uint8)
     train = part != HELD_OUT
     kept = part == KEPT
-    squeeze = zstandard.ZstdCompressor(level=1).compress
     none = np.array([i is None for i in ids], np.uint8)
     numbers = np.array([0 if i is None else i for i in ids], np.int64)
-    return [uuid.uuid4().hex, deleted, len(ids), int(lens.sum()), int(train.sum()), int(lens[train].sum()), int(kept.sum()), int(lens[kept].sum()), numbers.tobytes(), none.tobytes(), part.tobytes(), lens.tobytes(), pack_sorted(vocab), squeeze(pack(codes))]
+    return [uuid.uuid4().hex, deleted, len(ids), int(lens.sum()), int(train.sum()), int(lens[train].sum()), int(kept.sum()), int(lens[kept].sum()), numbers.tobytes(), none.tobytes(), part.tobytes(), lens.tobytes(), pack_sorted(vocab), pack(codes)]
 
 
 def _chunks(folds: int, held: int):
@@ -97,7 +95,7 @@ class Chunk:
         self.parts = np.frombuffer(row.parts, np.uint8)
         self.lens = np.frombuffer(row.lens, np.int64)
         self.vocab = unpack_sorted(row.vocab)
-        self.codes = unpack(zstandard.ZstdDecompressor().decompress(row.codes), np.int32).astype(np.int64)
+        self.codes = unpack(row.codes, np.int32).astype(np.int64)
         starts = np.cumsum(self.lens) - self.lens
         self.starts = starts
         n = len(self.vocab)
