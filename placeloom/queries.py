@@ -470,7 +470,7 @@ def j10_prj3_results(spark, sf):
     parts, pois = _parts(spark, sf), _placed(spark, sf)
     best = search.ranked(postings(parts), tag_postings(parts), parts, [Request(1, "small ri", lenient=True)])
     got = search.results(best, pois)
-    return got.select(F.col("rank").cast("long").alias("rank"), (F.round("lat", 4) + 0.0).alias("lat"), (F.round("lng", 4) + 0.0).alias("lng"), F.col("tags")["name"].alias("name"))
+    return got.select(F.col("rank").cast("long").alias("rank"), (F.round("lat", 4) + 0.0).alias("lat"), (F.when(F.round("lng", 4) == 180, -180.0).otherwise(F.round("lng", 4)) + 0.0).alias("lng"), F.col("tags")["name"].alias("name"))
 
 
 
