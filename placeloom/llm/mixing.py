@@ -9,20 +9,25 @@ need copies of documents are so met as far as the cells allow. A document is kep
 if a uniform number made from md5 of its id and a seed is below its probability:
 the same in every run, on any engine.
 
-Values of a marginal without a target share fall into its category "other", so the
-cells number at most the product of the targets' sizes plus one each, a bound that
-the parameters give and not the data: cells can be collected and joined by
-broadcast. All else is DataFrame expressions; documents are not shuffled.
+Values of a marginal without a target share, nulls among them, fall into its category
+"other". Where the targets leave no room to 1, "other" keeps the share of tokens that
+it has and the targets hold for the rest, so that rows with such values are sampled
+like the others and never dropped as a category. Cells number at most the product of
+the targets' sizes plus one each, a bound that the parameters give and not the data:
+they can be collected and joined by broadcast. All else is DataFrame expressions;
+documents are not shuffled.
 
 Defined results: null and empty texts have 0 tokens, their cell's probability and
-their own draw; null categories count as "other"; repeated rows are drawn alike;
-null ids draw as the empty string; categories with targets but no tokens are left
-out and the other shares scaled up; an empty table gives an empty table.
+their own draw; cells without tokens have probability ``keep`` unless a share of 0 is
+given; null categories count as "other"; repeated rows are drawn alike; null ids draw
+as the empty string; categories with targets but no tokens are left out and the other
+shares scaled up; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,10 +102,24 @@ def probabilities(have: np.ndarray, want: np.ndarray, keep: float) -> np.ndarray
     return np.minimum(1.0, scale * ratio) if rest > 1e-15 else (ratio > 0).astype(float)
 
 
+def with_other(targets: Mapping[str, float], levels: list[str], have: np.ndarray) -> np.ndarray:
+    """Target shares of a marginal's levels. "other" without a target gets the room that the targets leave to 1, or else its share of have."""
+    t = np.array([targets.get(v, 0.0) for v in levels])
+    if OTHER in targets or not have.sum():
+        return t
+    room = 1 - t.sum()
+    if room < 1e-9:
+        room = float(have[-1] / have.sum())
+        t = t / t.sum() * (1 - room) if t.sum() else t
+    t[-1] = room
+    return t
+
+
 def mixed(df: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
     """df with n_tokens, weight (wanted over present share of the cell), probability, draw and kept.
 
-    targets: column -> {value: share}. A marginal's shares that leave room to 1 leave it to "other".
+    targets: column -> {value: share}. A marginal's shares that leave room to 1 leave it to "other"; if they
+    leave none, "other" has its present share and the targets share what remains.
     """
     names = list(targets)
     levels = {c: [*targets[c], *([] if OTHER in targets[c] else [OTHER])] for c in names}
@@ -110,9 +129,11 @@ def mixed(df: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float
     have = np.zeros([len(levels[c]) for c in names])
     for r in rows:
         have[tuple(levels[c].index(r[c]) for c in names)] += r["n"] or 0
-    shares = [np.array([targets[c].get(v, max(0.0, 1 - sum(targets[c].values())) if v == OTHER else 0.0) for v in levels[c]]) for c in names]
+    shares = [with_other(targets[c], levels[c], have.sum(axis=tuple(a for a in range(have.ndim) if a != k))) for k, c in enumerate(names)]
     want = rake(have, shares)
     p = probabilities(have.reshape(-1), want.reshape(-1), keep).reshape(have.shape)
+    some_wanted = reduce(np.multiply.outer, [np.array([targets[c].get(v, 1.0) > 0 for v in levels[c]]) for c in names])
+    p = np.where((have == 0) & some_wanted, keep, p)
     share = have / have.sum() if have.sum() else have
     weight = np.divide(want, share, out=np.zeros_like(want), where=share > 0)
     some = [(*[levels[c][i] for c, i in zip(names, at, strict=True)], float(weight[at]), float(p[at])) for at in np.ndindex(have.shape)]

@@ -63,3 +63,29 @@ def test_rows(spark):
     got = mixing.mixed(df, mixing.TARGETS).collect()
     assert len(got) == 3 and len({r.draw for r in got}) == 2 and all(0 <= r.probability <= 1 for r in got)
     assert mixing.mixed(df.limit(0), mixing.TARGETS).count() == 0
+
+
+def test_unlisted_values_are_sampled(spark):
+    langs = ["en", "fr", "de", "es", None, "xx"]
+    rows = [(i, "w " * (5 + i % 7), f"src{i % 20}" if i % 3 else ("hot" if i % 2 else None), langs[i // 3 % 6]) for i in range(3000)]
+    rows += [(3000, None, "wordless", "en"), (3001, "", None, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("topic", F.lit("long-lined"))
+    got = mixing.mixed(df, mixing.TARGETS).collect()
+    assert len(got) == 3002 and all(r.probability > 0 for r in got)
+    total, expected = sum(r.n_tokens for r in got), sum(r.n_tokens * r.probability for r in got)
+    assert expected / total == pytest.approx(mixing.KEEP)
+    for col in ("source", "lang"):
+        unlisted = [r for r in got if r[col] not in mixing.TARGETS[col]]
+        # wanted tokens (weight times present tokens): unlisted values as they are, the targets of the rest
+        own = sum(r.n_tokens for r in unlisted) / total
+        assert own > 0.3 and sum(r.n_tokens * r.weight for r in unlisted) / total == pytest.approx(own)
+        for v, share in mixing.TARGETS[col].items():
+            assert sum(r.n_tokens * r.weight for r in got if r[col] == v) / total == pytest.approx(share * (1 - own), abs=1e-6)
+
+
+def test_room_and_zero_shares_of_other():
+    have = np.array([60.0, 10.0, 30.0])
+    assert mixing.with_other({"a": 0.5, "b": 0.5}, ["a", "b", "other"], have) == pytest.approx([0.35, 0.35, 0.3])
+    assert mixing.with_other({"a": 0.5, "b": 0.4}, ["a", "b", "other"], have) == pytest.approx([0.5, 0.4, 0.1])
+    assert mixing.with_other({"a": 0.5, "b": 0.5, "other": 0.0}, ["a", "b", "other"], have) == pytest.approx([0.5, 0.5, 0.0])
+    assert mixing.with_other({"a": 0.5, "b": 0.5}, ["a", "b", "other"], np.array([6.0, 4.0, 0.0])) == pytest.approx([0.5, 0.5, 0.0])
