@@ -115,7 +115,7 @@ def fn11_agg11_centroid(spark, sf):
     got = osm.way_points(_ways(spark, sf), _nodes(spark, sf)).withColumn("c", geo.centroid(F.col("points")))
     pts = F.col("points")
     x0, y0 = pts[0]["x"], pts[0]["y"]
-    last = F.concat(F.slice(pts, 2, 10_000), F.slice(pts, 1, 1))
+    last = F.concat(F.slice(pts, F.lit(2), F.size(pts)), F.slice(pts, 1, 1))
     area = F.aggregate(F.arrays_zip(pts.alias("a"), last.alias("b")), F.lit(0.0), lambda s, e: s + (e["a"]["x"] - x0) * (e["b"]["y"] - y0) - (e["b"]["x"] - x0) * (e["a"]["y"] - y0))
     return got.where((F.size("points") <= 2) | (F.abs(area) > 1)).select("id", F.round("c.x", 3).alias("lat"), F.round("c.y", 3).alias("lng"))
 

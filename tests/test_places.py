@@ -113,6 +113,22 @@ def test_geometry(spark):
     assert spark.sql("SELECT cast(array() AS array<struct<x:double,y:double>>) AS points").select(geo.centroid(F.col("points")).alias("c")).first().c is None
 
 
+def test_centroid_of_a_long_way(spark, tmp_path):
+    r = random.Random(4)
+    spark.read.parquet("/root/testdata/sf0.01/part.parquet").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(1, i, r.randrange(2000), 1) for i in range(10_500)] + [(2, i, k, 1) for i, k in enumerate((1, 500, 1200))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.id: (r.lat, r.lng) for r in queries.fn11_agg11_centroid(spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2}
+    for way in got:
+        pts = [((k * 37) % 17000 / 100 - 85, (k * 91) % 36000 / 100 - 180) for w, _, k, _ in lines if w == way]
+        (x0, y0), area, ax, ay = pts[0], 0.0, 0.0, 0.0
+        for (x, y), (u, v) in zip(pts, [*pts[1:], pts[0]], strict=True):
+            c = (x - x0) * (v - y0) - (u - x0) * (y - y0)
+            area, ax, ay = area + c, ax + (x + u - 2 * x0) * c, ay + (y + v - 2 * y0) * c
+        assert abs(area) > 1 and got[way] == pytest.approx((x0 + ax / (3 * area), y0 + ay / (3 * area)), abs=2e-3)
+
+
 # ---- sources -----------------------------------------------------------------------
 
 
