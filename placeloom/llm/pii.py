@@ -1,8 +1,8 @@
 r"""Personal data by anchor expansion.
 
 An Aho-Corasick automaton runs over each text once and finds anchors: at-signs,
-schemes (``://``), plus signs, digits and identifier cues (``account``, ``iban``
-...). A local parser for each anchor expands it to both sides and validates what
+schemes (``://``), plus signs, digits and identifier cues in any case (``account``,
+``IBAN``, ``Customer ID`` ...). A local parser for each anchor expands it to both sides and validates what
 it finds: domain labels, octets, Luhn and mod-97 check digits, digit counts.
 
 Kinds: ``email``, ``ip``, ``card``, ``phone`` are the base kinds. ``address`` (an
@@ -40,11 +40,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _USERINFO = re.compile(r"[^\s/?#@]+@[A-Za-z0-9.-]+[A-Za-z0-9]")
 _AFTER_CUE = re.compile(r"(?:[ ]?(?:no|nr|number|num)\b\.?)?[ ]?[:#=]?[ ]?([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)", re.I)
+_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _NON_DIGIT = re.compile(r"[^0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
 
 def automaton():
+    """Anchors of lower-cased texts."""
     a = ahocorasick.Automaton()
     a.add_word("@", (1, "email"))
     a.add_word("+", (1, "phone"))
@@ -52,12 +54,17 @@ def automaton():
     for d in "0123456789":
         a.add_word(d, (1, "digit"))
     for cue in CUES:
-        for form in (cue, cue.capitalize(), cue.upper()):
-            a.add_word(form, (len(form), "account"))
+        a.add_word(cue, (len(cue), "account"))
     a.make_automaton()
     return a
 
 
+def lowered(text: str) -> str:
+    """text in lower case with the same offsets: where full lower-casing makes it longer, only A to Z are changed."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def luhn(digits: str) -> bool:
     s = 0
     for i, c in enumerate(reversed(digits)):
@@ -97,7 +104,7 @@ def find(text: str | None, anchors) -> list[tuple[int, int, str]]:
     if not text:
         return out
     mail = ip = card = phone = account = 0
-    for last, (n, what) in anchors.iter(text):
+    for last, (n, what) in anchors.iter(lowered(text)):
         at = last - n + 1
         if what == "digit":
             if at >= card:

@@ -56,3 +56,12 @@ def test_query(spark, tmp_path):
     assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 1, 0, 0)
     assert one.base_sha256 == hashlib.sha256(b"email:5:13,ip:15:23").hexdigest()
     assert two.spans == "" and two.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_cues_in_any_case(spark):
+    cues = ["Customer ID", "Customer Id", "Member ID", "User ID", "user iD", "Iban", "IBan", "AcCt", "SSn", "account", "Account", "PASSPORT"]
+    texts = [f"{lead}{cue}: AB123456 end" for cue in cues for lead in ("", "İ ß É: ")]
+    for t in texts:
+        assert [(k, t[a:b]) for a, b, k in find(t, ANCHORS)] == [("account", "AB123456")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all("AB123456" not in r.text and "<ACCOUNT> end" in r.text for r in pii.mask_pii(df).collect())
