@@ -73,3 +73,40 @@ def test_near_pairs(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, "something else entirely here now"), (5, None)], "doc_id long, text string")
     got = {x.doc_id: x["class"] for x in fp.near_classes(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_near_classes_equal_all_pairs(spark):
+    r = random.Random(5)
+    word = lambda: str(r.randrange(10**6))
+    texts = []
+    for size in (150, 40, 3, 1, 1):
+        base = [word() for _ in range(300)]
+        for k in range(size):
+            w = list(base)
+            if k % 3:  # a third are exact copies, the others differ in a word or two
+                for _ in range(k % 3):
+                    w[r.randrange(300)] = word()
+            texts.append(" ".join(w))
+    # a head that all texts of another group share: a hot shingle, but no near copies
+    head = [word() for _ in range(60)]
+    texts += [" ".join(head + [word() for _ in range(240)]) for _ in range(60)]
+    ids = r.sample(range(10**6), len(texts))
+    sets = [set(fp.shingle_hashes([t])[0].tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= fp.THRESHOLD:
+                root[top(i)] = top(j)
+    smallest = {}
+    for i, d in enumerate(ids):
+        smallest[top(i)] = min(smallest.get(top(i), d), d)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {x.doc_id: x["class"] for x in fp.near_classes(df).collect()}
+    assert got == {d: smallest[top(i)] for i, d in enumerate(ids)}
