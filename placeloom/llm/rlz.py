@@ -1,12 +1,12 @@
-r"""Substring deduplication by relative Lempel-Ziv parsing.
-
-Every text is factored against the whole corpus as reference: at each word the
-parse takes the longest stretch that also starts earlier (smaller doc_id, or the
-same document further left), following one source, and goes on behind it. Factors
-of ``WINDOW`` words or more are duplicate spans. Where a factor ends, the windows
-that straddle its boundary are looked up too, since a passage may continue from
-another source; so a word is in a span exactly if some window of 20 words over it
-starts earlier elsewhere. Spans are found on the input, not on what is left.
+r"""Substring deduplication by an index of word windows, in place of a relative Lempel-Ziv parse.
+
+A word is in a duplicate span exactly if some window of ``WINDOW`` words over it starts
+earlier (smaller doc_id, or the same document further left) elsewhere in the corpus. The
+first place of every window that repeats is looked up; neighbouring windows whose first
+places go on in one source are joined to factors. These are not the greedy longest factors
+of a Lempel-Ziv parse: a stretch copied whole from one document is split where some of
+its windows occur still earlier in another. The words in factors, and so the removed
+ones, are the same. Spans are found on the input, not on what is left.
 
 The reference is indexed block by block. A block is a chunk of about ``CHUNK``
 characters of documents, written once as a table, and is both parsed and reference:
