@@ -13,9 +13,10 @@ are those of all training documents.
 
 How it is spread: texts are packed into chunks of about ``CHUNK`` characters, written
 once as a table (distinct token hashes and the sequence as places among them).
-Each chunk sends its distinct n-grams with counts to hash ranges, one row a range; a
-range sums the counts of all chunks and answers each chunk. A frequent n-gram is
-one entry a chunk, so no key is hot, and no vocabulary is ever whole in one place.
+Each chunk asks for the counts of its distinct n-grams, summed over all chunks by
+exchange.py: rows grow with the chunks and a task holds a bounded group of them. A
+frequent n-gram is one entry a chunk, so no key is hot, and no vocabulary is ever
+whole in one place.
 For EM, the three estimates of every deleted token are counted in cells (bucket and
 quarter octaves of the estimates' ratios), whose number is bounded; only cells and
 counts reach the driver.
@@ -40,11 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucket_bounds, byte_words, documents, encode_words, few_rows, mix, pack, pack_sorted, save, unpack, unpack_sorted
+from .common import arrow_rows, byte_words, documents, encode_words, few_rows, mix, pack, pack_sorted, save, unpack, unpack_sorted
+from .exchange import ASK_DDL, BITS, GROUP, exchange, gathered, groups_of, split
 
 CHUNK = 3_000_000
-#: Distinct n-grams of a chunk that fall into one hash range, over all chunks: about this many entries are summed at once.
-ENTRIES = 1_000_000
 END, START = b" ", np.uint64(0x5354415254)
 HELD_OUT, DELETED, KEPT = 0, 1, 2
 BUCKETS = 40
@@ -60,7 +60,7 @@ def _pack_chunk(ids: list, parts: list[int], docs: list[list[bytes]], deleted: b
     kept = part == KEPT
     none = np.array([i is None for i in ids], np.uint8)
     numbers = np.array([0 if i is None else i for i in ids], np.int64)
-    return [uuid.uuid4().hex, deleted, len(ids), int(lens.sum()), int(train.sum()), int(lens[train].sum()), int(kept.sum()), int(lens[kept].sum()), numbers.tobytes(), none.tobytes(), part.tobytes(), lens.tobytes(), pack_sorted(vocab), pack(codes)]
+    return [f"{'d' if deleted else 'k'}-{uuid.uuid4().hex}", deleted, len(ids), int(lens.sum()), int(train.sum()), int(lens[train].sum()), int(kept.sum()), int(lens[kept].sum()), numbers.tobytes(), none.tobytes(), part.tobytes(), lens.tobytes(), pack_sorted(vocab), pack(codes)]
 
 
 def _chunks(folds: int, held: int):
@@ -117,57 +117,40 @@ class Chunk:
         return tuple(np.bincount(places[part == p], minlength=size).astype(np.uint32) for p in (KEPT, DELETED))
 
 
-ASK_DDL = "range int, chunk string, deleted boolean, words binary, word_kept binary, word_deleted binary, pairs binary, pair_kept binary, pair_deleted binary"
-ANSWER_DDL = "chunk string, deleted boolean, range int, words binary, pairs binary, distinct long"
+class Sums:
+    """Counts in kept and in deleted documents, summed; of words (table 0) and pairs (table 1)."""
 
+    def merge(self, k: int, columns: list[np.ndarray], at: np.ndarray, n: int) -> list[np.ndarray]:
+        return [np.bincount(at, c, n).astype(np.uint64) for c in columns]
 
-def _ask(ranges: int):
+    def finish(self, k: int, merged: list[np.ndarray]) -> list[np.ndarray]:
+        return merged
+
+    def count(self, merged: list[np.ndarray]) -> int:
+        """The words of training documents."""
+        return int(np.count_nonzero(merged[0] + merged[1]))
+
+
+def _ask(groups: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ASK_DDL.split(", ")]
         for pdf in batches:
             for row in pdf.itertuples():
                 c = Chunk(row)
-                grams = [(h, *c.counts(at, len(h)), bucket_bounds(h, ranges)) for h, at in ((c.vocab, c.codes), (c.pairs, c.pair_of))]
-                out = []
-                for r in range(ranges):
-                    cells = [r, row.chunk, row.deleted]
-                    for h, kept, deleted, bounds in grams:
-                        own = slice(bounds[r], bounds[r + 1])
-                        cells += [pack_sorted(h[own]), pack(kept[own]), pack(deleted[own])]
-                    out.append(cells)
-                    if len(out) == 256:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=names)
+                tables = []
+                for h, places in ((c.vocab, c.codes), (c.pairs, c.pair_of)):
+                    kept, deleted = c.counts(places, len(h))
+                    tables.append([h, kept, deleted])
+                yield from split(row.chunk, tables, groups, bits=bits)
 
     return run
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums of one hash range, to each chunk in its own order: kept and deleted counts one after the other."""
-    answers: list[list[bytes]] = []
-    distinct = 0
-    for h, kept, deleted in (("words", "word_kept", "word_deleted"), ("pairs", "pair_kept", "pair_deleted")):
-        own = [unpack_sorted(b) for b in pdf[h]]
-        both, at = np.unique(np.concatenate(own), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([unpack(b, np.uint32) for b in pdf[c]]), len(both)) for c in (kept, deleted)]
-        if h == "words":
-            distinct = int(np.count_nonzero(sums[0] + sums[1]))
-        ends = np.cumsum([len(x) for x in own])
-        answers.append([pack(np.concatenate([s[at[e - len(x) : e]] for s in sums]).astype(np.uint64)) for x, e in zip(own, ends, strict=True)])
-    n = len(pdf)
-    return pd.DataFrame({"chunk": pdf["chunk"], "deleted": pdf["deleted"], "range": pdf["range"], "words": answers[0], "pairs": answers[1], "distinct": [distinct] + [0] * (n - 1)})
-
-
 class Counts:
     """Counts of a chunk's tokens over the corpus: of the token, its context, and both together."""
 
     def __init__(self, row, answers: pd.DataFrame, kept_docs: int, train_docs: int):
         self.chunk = c = Chunk(row)
-        answers = answers.sort_values("range")
-        halves = [[unpack(b, np.uint64).reshape(2, -1) for b in answers[name]] for name in ("words", "pairs")]
-        words, pairs = (np.concatenate(h, axis=1).astype(np.float64) for h in halves)
+        words, pairs = (np.stack(t).astype(np.float64) for t in gathered(answers))
         assert words.shape[1] == len(c.vocab) and pairs.shape[1] == len(c.pairs)
         first = np.array([[kept_docs], [train_docs - kept_docs]], np.float64)
         contexts = np.concatenate([words, first], axis=1)
@@ -250,20 +233,17 @@ def _scores(weights: np.ndarray, n: float, v: float, kept_docs: int, train_docs:
     return run
 
 
-def interpolated_scores(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
+def interpolated_scores(docs: DataFrame, folds: int = 10, held: int = 0, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """Score every text (doc_id, text); documents with crc32(doc_id) % folds == held teach nothing, those of the next fold are the deleted part."""
     chunks = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks(folds, held), CHUNK_DDL), "chunks")
-    total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_docs", "train_tokens", "kept_docs", "kept_tokens")], F.count("*").alias("n")).first()
-    ranges = max(1, -(-total["n_tokens"] // ENTRIES))
-    asked = chunks.mapInPandas(_ask(ranges), ASK_DDL)
-    answers = save(asked.groupBy("range").applyInPandas(_answer, ANSWER_DDL), "answers")
-    v = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train_docs", "train_tokens", "kept_docs", "kept_tokens")], F.count("*").alias("n")).first()
+    answers, v = exchange(chunks.mapInPandas(_ask(groups_of(total["n"], group), bits), ASK_DDL), total["n"], Sums(), bits, group)
     sizes = total["kept_docs"], total["train_docs"]
-    answers = answers.drop("distinct")
-    cells = chunks.where("deleted").groupBy("chunk").cogroup(answers.where("deleted").groupBy("chunk")).applyInPandas(_cells(total["kept_tokens"], v, *sizes), "b long, r2 long, r1 long, n long")
+    deleted = chunks.where("deleted")
+    cells = deleted.groupBy("chunk").cogroup(answers.where("child LIKE 'd-%'").groupBy("child")).applyInPandas(_cells(total["kept_tokens"], v, *sizes), "b long, r2 long, r1 long, n long")
     table = np.array([tuple(r) for r in cells.groupBy("b", "r2", "r1").agg(F.sum("n")).orderBy("b", "r2", "r1").collect()], np.float64).reshape(-1, 4)
     weights = learn(table) if len(table) else np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scores(weights, total["train_tokens"], v, *sizes), SCORE_DDL)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("child")).applyInPandas(_scores(weights, total["train_tokens"], v, *sizes), SCORE_DDL)
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,17 +62,16 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [lm.CHUNK, 900])
-def test_scores_equal_counters(spark, tmp_path, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "bits", "group"), [(lm.CHUNK, 8, 512), (900, 2, 3)])
+def test_scores_equal_counters(spark, tmp_path, chunk, bits, group, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK", chunk)
-    monkeypatch.setattr(lm, "ENTRIES", 700)
     r = random.Random(1)
     vocab = ["".join(r.choice("abcÄé.") for _ in range(r.randint(1, 5))) for _ in range(150)]
     rows = [(i, r.choice([" ", "\n", "\x0b", "  "]).join(vocab[int(r.paretovariate(0.7)) % 150] for _ in range(r.randrange(60)))) for i in range(200)]
     rows += [(1000, None), (1001, ""), (1002, "A b " * 20_000)]
     where = str(tmp_path / str(chunk))
     spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, chunk string").write.parquet(where + "/documents.parquet")
-    got = {x.doc_id: x for x in lm.op1_deleted_interpolation(spark, where).collect()}
+    got = {x.doc_id: x for x in lm.interpolated_scores(lm.documents(spark, where), bits=bits, group=group).collect()}
     want = brute(rows)
     assert got.keys() == want.keys()
     for i, (held, n, known, train, base, score) in want.items():
