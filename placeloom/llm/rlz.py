@@ -1,25 +1,31 @@
-r"""Substring deduplication by an index of word windows, in place of a relative Lempel-Ziv parse.
+r"""Substring deduplication by relative Lempel-Ziv parsing.
 
 A word is in a duplicate span exactly if some window of ``WINDOW`` words over it starts
-earlier (smaller doc_id, or the same document further left) elsewhere in the corpus. The
-first place of every window that repeats is looked up; neighbouring windows whose first
-places go on in one source are joined to factors. These are not the greedy longest factors
-of a Lempel-Ziv parse: a stretch copied whole from one document is split where some of
-its windows occur still earlier in another. The words in factors, and so the removed
-ones, are the same. Spans are found on the input, not on what is left.
-
-The reference is indexed block by block. A block is a chunk of about ``CHUNK``
-characters of documents, written once as a table, and is both parsed and reference:
-
-1. each block sends the hashes of its minimizers (the smallest hash of eight words
-   in every window) to hash ranges, which answer one bit each: does it occur more
-   than once? Equal windows have equal minimizers, so all others are unique;
-2. each block sends the hashes of the windows left, with their first place in the
-   block, and the range answers the first place in the corpus.
-
-Every hash is one entry a block however often it occurs, so no passage is hot, and
-no block or range grows with the corpus. Words and windows are compared by 64-bit
-hashes.
+earlier (smaller doc_id, or the same document further left) elsewhere in the corpus. Spans
+are found on the input, not on what is left.
+
+The reference is the corpus without its repetitions: the stretches that windows make up
+which occur again elsewhere, each where it occurs first. It is indexed by windows, in
+blocks of the hash space; as a window is in the reference once, it leads to one place, and
+the longest match of a text from there on goes as far as window after window leads on
+along the reference. Each document is parsed greedily: at a word that begins a reference
+window the longest match becomes a factor and the parse goes on behind it; other words are
+literals. Matches below ``WINDOW`` words are not factors. A greedy factor can hide windows
+that begin in it and end behind it, so these are looked up too at each factor's boundary.
+Factors and boundary windows together are the duplicate spans.
+
+How it is spread: documents are packed into chunks of about ``CHUNK`` characters, written
+once as a table. Each chunk asks twice by exchange.py:
+
+1. for the hashes of its minimizers (the smallest hash of eight words in every window):
+   does it occur more than once? Equal windows have equal minimizers, so all others
+   are unique;
+2. for the hashes of the windows left, with their first place in the chunk: what is the
+   first place in the corpus, their place in the reference?
+
+Every hash is one entry a chunk however often it occurs, so no passage is hot, and a task
+holds a bounded group of chunks in one block of the index. Words and windows are compared
+by 64-bit hashes.
 
 Defined results: null and empty texts have no words; texts of any length are parsed
 whole; rows with equal doc_id and place do not start earlier than each other, so
@@ -39,13 +45,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, documents, encode_words, mix, pack, pack_sorted, save, unpack, unpack_sorted
+from .common import documents, encode_words, mix, save
+from .exchange import ASK_DDL, BITS, GROUP, exchange, gathered, groups_of, split
 
 WINDOW = 20
 SEED = 8
 CHUNK = 4_000_000
-#: Words of the corpus for each hash range of the two exchanges.
-WORDS_PER_RANGE = 4_000_000
 LAST = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,92 +161,91 @@ class Block:
         return at, hashes, which, self.ids[self.doc_of[lead]], lead - self.starts[self.doc_of[lead]]
 
 
-ASK_DDL = "range int, chunk string, hashes binary, docs binary, places binary"
-ANSWER_DDL = "chunk string, step int, range int, docs binary, places binary"
+class Often:
+    """Of each seed one bit: it occurs twice or more."""
 
+    def merge(self, k: int, columns: list[np.ndarray], at: np.ndarray, n: int) -> list[np.ndarray]:
+        return [np.minimum(np.bincount(at, columns[0], n), 2).astype(np.uint8)]
 
-def _split(chunk: str, hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, ranges: int) -> Iterator[pd.DataFrame]:
-    bounds = bucket_bounds(hashes, ranges)
-    names = [c.split()[0] for c in ASK_DDL.split(", ")]
-    for at in range(0, ranges, 256):
-        own = [(r, slice(bounds[r], bounds[r + 1])) for r in range(at, min(at + 256, ranges))]
-        yield pd.DataFrame([[r, chunk, pack_sorted(hashes[s]), pack(docs[s]), pack(places[s].astype(np.uint32))] for r, s in own], columns=names)
+    def finish(self, k: int, merged: list[np.ndarray]) -> list[np.ndarray]:
+        return [merged[0] > 1]
 
+    def count(self, merged: list[np.ndarray]) -> int:
+        return 0
 
-def _ask_seeds(ranges: int):
+
+class Earliest:
+    """Of each window its place in the reference: the first doc_id, and the first place in that document."""
+
+    def merge(self, k: int, columns: list[np.ndarray], at: np.ndarray, n: int) -> list[np.ndarray]:
+        order = np.lexsort((columns[1], columns[0], at))
+        first = order[np.append(True, at[order][1:] != at[order][:-1])[: len(at)]]
+        return [c[first] for c in columns]
+
+    def finish(self, k: int, merged: list[np.ndarray]) -> list[np.ndarray]:
+        return merged
+
+    def count(self, merged: list[np.ndarray]) -> int:
+        return 0
+
+
+def _ask_seeds(groups: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
                 b = Block(row)
-                yield from _split(row.chunk, b.seeds, np.zeros(0, np.int64), np.minimum(b.seed_counts, 2), ranges)
+                yield from split(row.chunk, [[b.seeds, np.minimum(b.seed_counts, 2).astype(np.uint8)]], groups, bits=bits)
 
     return run
 
 
-def _answer_seeds(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bit for each seed of each block: it occurs twice or more in the corpus."""
-    own = [unpack_sorted(b) for b in pdf["hashes"]]
-    both, at = np.unique(np.concatenate(own), return_inverse=True)
-    many = np.bincount(at, np.concatenate([unpack(b, np.uint32) for b in pdf["places"]]), len(both)) > 1
-    ends = np.cumsum([len(x) for x in own])
-    bits = [np.packbits(many[at[e - len(x) : e]]).tobytes() for x, e in zip(own, ends, strict=True)]
-    return pd.DataFrame({"chunk": pdf["chunk"], "step": 1, "range": pdf["range"], "docs": [len(x).to_bytes(8, "little") for x in own], "places": bits})
-
-
-def _repeated(answers: pd.DataFrame) -> np.ndarray:
-    own = answers[answers["step"] == 1].sort_values("range")
-    bits = [np.unpackbits(np.frombuffer(p, np.uint8), count=int.from_bytes(d, "little")) for d, p in zip(own["docs"], own["places"], strict=True)]
-    return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+def _column(answers: pd.DataFrame, step: int, which: int, kind) -> np.ndarray:
+    tables = gathered(answers[answers["step"] == step])
+    return tables[0][which] if tables else np.zeros(0, kind)
 
 
-def _ask_windows(ranges: int):
+def _ask_windows(groups: int, bits: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame(columns=[c.split()[0] for c in ASK_DDL.split(", ")])]
         for row in left.itertuples():
-            _, hashes, _, docs, places = Block(row).candidates(_repeated(right))
-            out += _split(row.chunk, hashes, docs, places, ranges)
+            _, hashes, _, docs, places = Block(row).candidates(_column(right, 1, 0, bool))
+            out += split(row.chunk, [[hashes, docs, places.astype(np.uint32)]], groups, bits=bits)
         return pd.concat(out)
 
     return run
 
 
-def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each hash of each block its first place in the corpus."""
-    own = [unpack_sorted(b) for b in pdf["hashes"]]
-    h = np.concatenate(own)
-    docs, places = np.concatenate([unpack(b, np.int64) for b in pdf["docs"]]), np.concatenate([unpack(b, np.uint32) for b in pdf["places"]]).astype(np.int64)
-    order = np.lexsort((places, docs, h))
-    new = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
-    first = np.empty(len(h), np.int64)
-    first[order] = order[new][np.cumsum(new) - 1]
-    ends = np.cumsum([len(x) for x in own])
-    cut = [first[e - len(x) : e] for x, e in zip(own, ends, strict=True)]
-    return pd.DataFrame({"chunk": pdf["chunk"], "step": 2, "range": pdf["range"], "docs": [pack(docs[f]) for f in cut], "places": [pack(places[f].astype(np.uint32)) for f in cut]})
-
-
-def parse(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Factors of a block: place among its words, length, doc_id and place of the source.
-
-    A factor follows its source as long as window after window leads on in it; where it ends, the
-    straddling windows that start earlier in another source begin factors of their own.
-    """
-    at, _, which, _, _ = b.candidates(_repeated(answers))
-    own = answers[answers["step"] == 2].sort_values("range")
-    docs = np.concatenate([np.zeros(0, np.int64), *[unpack(x, np.int64) for x in own["docs"]]])[which]
-    places = np.concatenate([np.zeros(0, np.uint32), *[unpack(x, np.uint32) for x in own["places"]]]).astype(np.int64)[which]
-    doc, place = b.ids[b.doc_of[at]], at - b.starts[b.doc_of[at]]
-    earlier = (docs < doc) | ((docs == doc) & (places < place))
-    at, docs, places = at[earlier], docs[earlier], places[earlier]
-    order = np.argsort(at)
-    at, docs, places = at[order], docs[order], places[order]
-    goes_on = (np.diff(at) == 1) & (np.diff(docs) == 0) & (np.diff(places) == 1) & (np.diff(b.doc_of[at]) == 0)
-    first = np.flatnonzero(np.append(True, ~goes_on)[: len(at)])
-    count = np.diff(np.append(first, len(at)))
-    return at[first], count + WINDOW - 1, docs[first], places[first]
+class Parse:
+    """Greedy factors of a block: start among its words, length, doc_id and place of the source; and its boundary windows (starts)."""
+
+    def __init__(self, b: Block, answers: pd.DataFrame):
+        at, _, which, _, _ = b.candidates(_column(answers, 1, 0, bool))
+        docs, places = _column(answers, 2, 0, np.int64)[which], _column(answers, 2, 1, np.uint32).astype(np.int64)[which]
+        doc, place = b.ids[b.doc_of[at]], at - b.starts[b.doc_of[at]]
+        earlier = np.flatnonzero((docs < doc) | ((docs == doc) & (places < place)))
+        earlier = earlier[np.argsort(at[earlier])]
+        at, docs, places = at[earlier], docs[earlier], places[earlier]
+        goes_on = (np.diff(at) == 1) & (np.diff(docs) == 0) & (np.diff(places) == 1) & (np.diff(b.doc_of[at]) == 0)
+        # the last window that each one leads on to along the reference
+        last = np.flatnonzero(np.append(~goes_on, True)[: len(at)])
+        behind = at[last[np.searchsorted(last, np.arange(len(at)))]] + WINDOW if len(at) else at
+        following = np.searchsorted(at, behind)
+        chosen, i = [], 0
+        while i < len(at):
+            chosen.append(i)
+            i = int(following[i])
+        pick = np.array(chosen, np.int64)
+        self.start, self.length, self.docs, self.places = at[pick], behind[pick] - at[pick], docs[pick], places[pick]
+        inside = np.searchsorted(self.start, at, side="right") - 1
+        self.boundary = at[at + WINDOW > (self.start + self.length)[inside]] if len(at) else at
+
+    def gone(self, b: Block) -> np.ndarray:
+        """Which words lie in a factor or in a boundary window."""
+        return covered(b, np.append(self.start, self.boundary), np.append(self.length, np.full(len(self.boundary), WINDOW)))
 
 
 def covered(b: Block, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Which words lie in a factor."""
+    """Which words lie in a stretch."""
     edge = np.zeros(len(b.words) + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + length, -1)
@@ -257,10 +261,10 @@ def _factors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     out = [pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in FACTOR_DDL.split(", ")})]
     for row in left.itertuples():
         b = Block(row)
-        start, length, docs, places = parse(b, right)
-        own = b.doc_of[start]
+        p = Parse(b, right)
+        own = b.doc_of[p.start]
         null = lambda x, none: pd.Series(x, dtype="Int64").mask(none)
-        out.append(pd.DataFrame({"doc_id": null(b.ids[own], b.nulls[own]), "start": start - b.starts[own], "n_words": length, "source_doc": null(docs, docs == LAST), "source_start": places}))
+        out.append(pd.DataFrame({"doc_id": null(b.ids[own], b.nulls[own]), "start": p.start - b.starts[own], "n_words": p.length, "source_doc": null(p.docs, p.docs == LAST), "source_start": p.places}))
     return pd.concat(out)
 
 
@@ -269,8 +273,7 @@ def _kept(digest: bool):
         out = []
         for row in left.itertuples():
             b = Block(row)
-            start, length, _, _ = parse(b, right)
-            gone = covered(b, start, length)
+            gone = Parse(b, right).gone(b)
             removed = np.add.reduceat(np.append(gone, False), b.starts) * (b.lens > 0)
             texts = []
             for words, at, n, r in zip(b.docs, b.starts.tolist(), b.lens.tolist(), removed.tolist(), strict=True):
@@ -286,20 +289,20 @@ def _kept(digest: bool):
 class Parsed:
     """A corpus indexed and ready to be parsed: factors(), kept() and digests() of its documents (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, bits: int = BITS, group: int = GROUP):
         self.blocks = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(chunks, CHUNK_DDL), "blocks")
-        words = self.blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-        ranges = words // WORDS_PER_RANGE + 1
-        seeds = save(self.blocks.mapInPandas(_ask_seeds(ranges), ASK_DDL).groupBy("range").applyInPandas(_answer_seeds, ANSWER_DDL), "seeds")
-        asked = self.blocks.groupBy("chunk").cogroup(seeds.groupBy("chunk")).applyInPandas(_ask_windows(ranges), ASK_DDL)
-        windows = save(asked.groupBy("range").applyInPandas(_answer_windows, ANSWER_DDL), "windows")
+        n = self.blocks.count()
+        groups = groups_of(n, group)
+        seeds = exchange(self.blocks.mapInPandas(_ask_seeds(groups, bits), ASK_DDL), n, Often(), bits, group)[0].withColumn("step", F.lit(1))
+        asked = self.blocks.groupBy("chunk").cogroup(seeds.groupBy("child")).applyInPandas(_ask_windows(groups, bits), ASK_DDL)
+        windows = exchange(asked, n, Earliest(), bits, group)[0].withColumn("step", F.lit(2))
         self.answers = seeds.unionByName(windows)
 
     def _each(self, fn, ddl: str) -> DataFrame:
-        return self.blocks.groupBy("chunk").cogroup(self.answers.groupBy("chunk")).applyInPandas(fn, ddl)
+        return self.blocks.groupBy("chunk").cogroup(self.answers.groupBy("child")).applyInPandas(fn, ddl)
 
     def factors(self) -> DataFrame:
-        """Duplicate spans (doc_id, start, n_words) in words, and where each starts in its source."""
+        """Greedy factors (doc_id, start, n_words) in words, and where each starts in its source."""
         return self._each(_factors, FACTOR_DDL)
 
     def kept(self) -> DataFrame:

@@ -43,16 +43,67 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, rlz.CHUNK), (2, 400), (3, 40)])
-def test_equals_all_windows(spark, tmp_path, seed, chunk, monkeypatch):
-    monkeypatch.setattr(rlz, "CHUNK", chunk)
-    monkeypatch.setattr(rlz, "WORDS_PER_RANGE", 1000)
+@pytest.mark.parametrize(("seed", "parts", "bits", "group"), [(1, 1, 8, 512), (2, 9, 2, 3), (3, 25, 1, 2)])
+def test_equals_all_windows(spark, seed, parts, bits, group):
     rows = corpus(seed)
-    spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words int").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in rlz.op4_lz_substrings(spark, str(tmp_path)).collect()}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words int").repartition(parts)
+    parsed = rlz.Parsed(docs, bits, group)
+    assert parsed.blocks.count() > parts // 2
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in parsed.digests().collect()}
     assert got == brute(rows)
 
 
+def greedy(rows):
+    """Factors of every document by a plain parser: the longest match in the reference, word by word; the reference holds the first places of windows that occur again."""
+    words = {i: (t or "").split() for i, t in rows}
+    first, often = {}, {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - 19):
+            w = tuple(words[i][p : p + 20])
+            first.setdefault(w, (i, p))
+            often[w] = often.get(w, 0) + 1
+    stretches = []  # (document, start, words) of the reference
+    for i in sorted(words):
+        run = None
+        for p in range(len(words[i]) - 19):
+            w = tuple(words[i][p : p + 20])
+            if often[w] > 1 and first[w] == (i, p):
+                run = p if run is None else run
+                if not stretches or stretches[-1][:2] != (i, run):
+                    stretches.append((i, run, None))
+                stretches[-1] = (i, run, words[i][run : p + 20])
+            else:
+                run = None
+    out = []
+    for i in sorted(words):
+        p = 0
+        while p < len(words[i]):
+            best = (19, None, None)
+            for d, s, ws in stretches:
+                for q in range(len(ws) - 19):
+                    if (d, s + q) < (i, p) and ws[q : q + 20] == words[i][p : p + 20]:
+                        n = 20
+                        while q + n < len(ws) and p + n < len(words[i]) and ws[q + n] == words[i][p + n]:
+                            n += 1
+                        if n > best[0]:
+                            best = (n, d, s + q)
+            if best[1] is None:
+                p += 1
+            else:
+                out.append((i, p, *best))
+                p += best[0]
+    return out
+
+
+def test_factors_equal_a_greedy_parser(spark):
+    rows = corpus(6)[:40]
+    rows += [(4000, " ".join(f"a{i}" for i in range(20))), (4001, " ".join([f"a{i}" for i in range(20)] + [f"b{i}" for i in range(30)])), (4002, " ".join([f"a{i}" for i in range(20)] + [f"b{i}" for i in range(30)]))]
+    parsed = rlz.Parsed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2, 3)
+    got = sorted(map(tuple, parsed.factors().collect()))
+    assert got == sorted(greedy(rows))
+    assert [f[1:] for f in got if f[0] == 4002] == [(0, 20, 4000, 0), (20, 30, 4001, 20)]
+
+
 def test_equals_sql(spark):
     import duckdb
 
