@@ -5,28 +5,32 @@ executors with the function: it is as large as the vocabulary file, about 1 MB.
 The path is a parameter; executors do not need the file.
 
 Encoding maximises the sum of piece scores. The lattice is walked character by
-character and only a window of back pointers is held, bounded by the maximum
-piece length: whenever all back-pointer paths that can still be extended run
-through one boundary, the ids before it are committed and dropped. A character
-that no piece covers costs the lowest score less 10 and becomes byte pieces.
-Ties go to the path whose last piece starts earliest (the longest last piece).
+character and only a window is held: scores of the positions that a piece from here
+can reach (as many as the longest piece has characters), and the back pointers that
+surviving paths still share. Paths that no open position stands on are dropped at every
+character, and as soon as all that survive run through one boundary, the ids before it
+are committed. A character that no piece covers costs the lowest score less 10 and
+becomes byte pieces. Ties go to the path whose last piece starts earliest (the longest
+last piece).
 
 Boundaries that no piece spans (before a word, beside a line break) are
 convergence points of every text: whatever came before, all paths meet there and
 the ids are committed. So each distinct stretch between them is encoded once a
-batch, short ones side by side in numpy (a lane each, one step of all lanes a
-character), long ones through the window alone.
+batch: those no longer than the longest piece, which fit in one window, side by side
+in numpy (a lane each, one step of all lanes a character), longer ones through the
+window.
 
 Defined results: null text has null ids, empty text no ids; a literal U+2581 is
 kept apart from a space by byte pieces, so decode(encode(text)) is the text
 itself for every valid string; texts of any length need memory for their ids and
-one window only; repeated rows are encoded each for itself.
+one window only; repeated rows are encoded each for itself; an id that
+the table lacks decodes to nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -42,8 +46,8 @@ from .common import documents
 #: Where the public vocabulary files lie by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches of up to WIDE characters run in lanes, LANES at once; longer ones alone, through the window. Characters encoded at once.
-WIDE, LANES, CHARS = 48, 10_000, 1_500_000
+#: Stretches that run in lanes at once; characters encoded at once.
+LANES, CHARS = 10_000, 1_500_000
 #: Odd multipliers of the piece hash and of its table.
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -92,55 +96,56 @@ def load(path: str = MODEL) -> Table:
     return Table(prefixes, longest, byte_ids, lowest - 10, as_bytes, stretches)
 
 
-def viterbi(chars: str, t: Table) -> list[int]:
-    """Ids of one stretch; the window of open positions is committed wherever all surviving paths meet."""
-    prefixes, unknown, byte_ids = t.prefixes, t.unknown, t.byte_ids
-    low = float("-inf")
-    n, base, out = len(chars), 0, []
-    best: list[float] = [0.0] + [low] * t.longest
-    back: list = [None] * (t.longest + 1)  # (start, id or None for bytes) of the best last piece, from position base on
+def viterbi(chars: str, t: Table, watch: Callable[[int], None] | None = None) -> list[int]:
+    """Ids of one stretch. watch is told at each character how many boundaries are held.
+
+    The settled positions that surviving paths run through form a tree: parent and last piece, and the
+    positions that hang on each. A position is dropped when nothing hangs on it any more and no open position
+    stands on it; while only one path leads on from the root, that step is committed and the root moves.
+    """
+    prefixes, unknown, byte_ids, longest = t.prefixes, t.unknown, t.byte_ids, t.longest
+    low, n, out, root = float("-inf"), len(chars), [], 0
+    last: dict[int, tuple[int, int | None]] = {}
+    hanging: dict[int, set[int]] = {0: set()}
+    scores, pieces, open_ = [0.0] + [low] * longest, [(0, None)] * (longest + 1), set()  # of positions i to i + longest
     for i in range(n):
-        here = best[i - base]
-        if here > low:
-            need = i + t.longest + 1 - base - len(best)
-            if need > 0:
-                best += [low] * need
-                back += [None] * need
-            for j in range(i + 1, min(i + t.longest, n) + 1):
-                sub = chars[i:j]
-                if sub not in prefixes:
-                    if j == i + 1 and here + unknown > best[j - base]:
-                        best[j - base], back[j - base] = here + unknown, (i, None)
-                    break
-                found = prefixes[sub]
-                if found is not None:
-                    if (s := here + found[1]) > best[j - base]:
-                        best[j - base], back[j - base] = s, (i, found[0])
-                elif j == i + 1 and here + unknown > best[j - base]:
-                    best[j - base], back[j - base] = here + unknown, (i, None)
-        if i + 1 - base >= 4 * t.longest:
-            alive = {k for k in range(max(i + 2 - t.longest, base), min(i + t.longest, n) + 1) if k - base < len(best) and best[k - base] > low}
-            while len(alive) > 1 or (alive and max(alive) > i + 1):
-                top = max(alive)
-                if top == base:
-                    break
-                alive.remove(top)
-                alive.add(back[top - base][0])
-            cut = alive.pop() if len(alive) == 1 else base
-            if cut > base:
-                out += _trace(chars, back, base, cut, byte_ids)
-                best, back = best[cut - base :], back[cut - base :]
-                base = cut
-    return out + _trace(chars, back, base, n, byte_ids)
-
-
-def _trace(chars: str, back: list, base: int, end: int, byte_ids: list[int]) -> list[int]:
-    rev: list[int] = []
-    while end > base:
-        start, piece = back[end - base]
-        rev += [piece] if piece is not None else [byte_ids[b] for b in reversed(chars[start:end].encode("utf-8", "surrogatepass"))]
-        end = start
-    return rev[::-1]
+        here = scores[0]
+        for k in range(1, min(longest, n - i) + 1):
+            sub = chars[i : i + k]
+            found = prefixes.get(sub, 0)
+            if found:
+                if (s := here + found[1]) > scores[k]:
+                    scores[k], pieces[k] = s, (i, found[0])
+            elif k == 1 and here + unknown > scores[1]:
+                scores[1], pieces[1] = here + unknown, (i, None)
+            if found == 0:
+                break
+        # position i + 1 is settled (one character always leads to it) and hangs on where its best piece starts
+        scores, pieces = [*scores[1:], low], [*pieces[1:], (0, None)]
+        last[i + 1], hanging[i + 1] = pieces[0], set()
+        hanging[pieces[0][0]].add(i + 1)
+        before, open_ = open_, {x[0] for x, s in zip(pieces[1:], scores[1:], strict=True) if s > low}
+        for p in [i, *(before - open_)]:
+            while p in hanging and p != root and not hanging[p] and p not in open_ and p <= i:
+                del hanging[p]
+                hanging[parent := last.pop(p)[0]].discard(p)
+                p = parent
+        while root <= i and root not in open_ and len(hanging[root]) == 1:
+            (following,) = hanging.pop(root)
+            out += _ids(chars, root, following, last.pop(following)[1], byte_ids)
+            root = following
+        if watch:
+            watch(len(hanging))
+    rest = []
+    while n > root:
+        start, piece = last[n]
+        rest.append(_ids(chars, start, n, piece, byte_ids))
+        n = start
+    return out + list(chain.from_iterable(reversed(rest)))
+
+
+def _ids(chars: str, start: int, end: int, piece: int | None, byte_ids: list[int]) -> list[int]:
+    return [piece] if piece is not None else [byte_ids[b] for b in chars[start:end].encode("utf-8", "surrogatepass")]
 
 
 class Lanes:
@@ -224,6 +229,8 @@ class Codec:
         self.t, self.lanes, self.split = table, Lanes(table), re.compile(table.stretches).findall
         sizes = np.array([len(b) for b in table.as_bytes], np.int64)
         self.blob, self.sizes, self.starts = np.frombuffer(b"".join(table.as_bytes), np.uint8), sizes, np.cumsum(sizes) - sizes
+        # an id that the table lacks stands for nothing
+        self.sizes_or_none, self.starts_or_none = np.append(sizes, 0), np.append(self.starts, 0)
         self.literal = [table.byte_ids[b] for b in SPACE.encode()]
 
     def _stretches(self, text: str) -> list[str]:
@@ -249,7 +256,7 @@ class Codec:
         cuts = np.flatnonzero(np.diff(sizes[order])) + 1
         for group in np.split(order, cuts) if len(order) else []:
             size = int(sizes[group[0]])
-            if size == 0 or size > WIDE or len(group) < 4:
+            if size == 0 or size > self.t.longest or len(group) < 4:
                 for g in group.tolist():
                     alone(g)
                 continue
@@ -290,9 +297,10 @@ class Codec:
         out: list[str | None] = []
         for part in (ids.slice(i, 512) for i in range(0, len(ids), 512)):
             flat = part.flatten().to_numpy(zero_copy_only=False)
+            flat = np.where((flat >= 0) & (flat < len(self.sizes)), flat, len(self.sizes))
             counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            size = self.sizes[flat]
-            data = self.blob[spans(self.starts[flat], size)].tobytes() if len(flat) else b""
+            size = self.sizes_or_none[flat]
+            data = self.blob[spans(self.starts_or_none[flat], size)].tobytes() if len(flat) else b""
             ends = np.append(0, np.cumsum(size))[np.cumsum(counts)] if len(counts) else counts
             at = 0
             for end, valid in zip(ends.tolist(), part.is_valid().to_pylist(), strict=True):

@@ -49,6 +49,21 @@ def test_streaming_equals_full_lattice(table):
             assert score(spm.viterbi(s, table), s, table) == pytest.approx(brute(s, table), abs=1e-6)
 
 
+def test_window_is_bounded(table):
+    """Few boundaries are held at any character of a long stretch, and its ids are those of the full lattice."""
+    r = random.Random(7)
+    for s in ("x" * 5000, "".join(r.choice("therination") for _ in range(5000)), "日本" * 1000):
+        held = []
+        ids = spm.viterbi(s, table, held.append)
+        assert len(held) == len(s) and max(held) <= 4 * table.longest
+        assert score(ids, s, table) == pytest.approx(brute(s, table), abs=1e-6)
+
+
+def test_unknown_ids(table):
+    codec = spm.Codec(table)
+    assert codec.decode([-1, 10**6, *codec.encode("the cat")]) == "the cat"
+
+
 def test_lanes_equal_the_window(table):
     r = random.Random(6)
     words = ["".join(r.choice(a) for _ in range(r.randint(1, 60))) for a in ("abcdeit", "therinationü☃中", f"th{spm.SPACE}") for _ in range(300)]
