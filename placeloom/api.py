@@ -25,7 +25,7 @@ def build_index(spark: SparkSession, path: str, nodes: DataFrame, ways: DataFram
 
 def search_batch(index: PlaceIndex, requests: Sequence[Request], top: int = 10, exact_box: bool = False) -> DataFrame:
     """Result rows of many requests in one plan."""
-    return results(ranked(index.postings, index.tag_postings, index.pois, requests, top, exact_box), index.pois)
+    return results(ranked(index.postings, index.tag_postings, index.pois, requests, top, exact_box, index.vocabulary()), index.pois)
 
 
 def search(index: PlaceIndex, q: str, lenient: bool = False, tags: str | None = None, bbox: str | None = None) -> DataFrame:

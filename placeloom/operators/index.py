@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-TABLES = ("pois", "postings", "tag_postings")
+TABLES = ("pois", "postings", "tag_postings", "vocabulary")
 
 
 def postings(pois: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def vocabulary(post: DataFrame) -> DataFrame:
 
 
 class PlaceIndex:
-    """An index folder. Writing appends; a second import of a place makes a second row."""
+    """An index folder. Writing appends places that it lacks; a place that is imported again (or a batch that is written again after a failure) stays as it is."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -64,21 +64,29 @@ class PlaceIndex:
         return self.table("tag_postings")
 
     def vocabulary(self) -> DataFrame:
-        return vocabulary(self.postings)
+        """(term, df): each write has added the counts of its own places."""
+        return self.table("vocabulary").groupBy("term").agg(F.sum("df").alias("df"))
 
     def count(self) -> int:
         return self.pois.count()
 
     def write(self, rows: DataFrame) -> None:
-        """Append index rows. Places are sorted by cell so that bounding boxes prune files and row groups; postings by term."""
-        rows.repartitionByRange(F.col("s2key")).sortWithinPartitions("s2key").write.mode("append").parquet(f"{self.path}/pois")
+        """Append index rows whose doc_id the index lacks. Places are sorted by cell, postings by term; the places are written last, as they say what is there."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/pois")
+        if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            rows = rows.join(self.pois.select("doc_id"), "doc_id", "left_anti")
+        words = postings(rows)
         # derived from what this call wrote would need its file list; the input is used once more instead
-        postings(rows).repartitionByRange(F.col("term"), F.col("doc_id")).sortWithinPartitions("term", "doc_id").write.mode("append").parquet(f"{self.path}/postings")
+        words.repartitionByRange(F.col("term"), F.col("doc_id")).sortWithinPartitions("term", "doc_id").write.mode("append").parquet(f"{self.path}/postings")
         tag_postings(rows).repartitionByRange(F.col("tag"), F.col("doc_id")).sortWithinPartitions("tag", "doc_id").write.mode("append").parquet(f"{self.path}/tag_postings")
+        vocabulary(words).write.mode("append").parquet(f"{self.path}/vocabulary")
+        rows.repartitionByRange(F.col("s2key")).sortWithinPartitions("s2key").write.mode("append").parquet(f"{self.path}/pois")
 
     def compact(self, to: str | None = None) -> PlaceIndex:
         """The same rows in fewer, sorted files, in a new folder."""
         out = PlaceIndex(self.spark, to or f"{self.path}-{uuid.uuid4().hex[:8]}")
         for name, keys in (("pois", ["s2key"]), ("postings", ["term", "doc_id"]), ("tag_postings", ["tag", "doc_id"])):
             self.table(name).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{out.path}/{name}")
+        self.vocabulary().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{out.path}/vocabulary")
         return out

@@ -27,11 +27,17 @@ def names(tags: Column) -> Column:
     return text.possessive(F.transform(F.array_sort(F.map_entries(some)), lambda e: e["value"]))
 
 
+def place_key(id_: Column, kind: Column) -> Column:
+    """One number for an element: nodes and ways are numbered apart, so an id alone is not unique."""
+    return F.shiftleft(id_.cast("bigint"), 1) + F.when(kind == "ways", 1).otherwise(0)
+
+
 def pois(elements: DataFrame, source: str = "osm") -> DataFrame:
-    """Places (POI) from (id, lat, lng, tags): valid tags, and a name or both house number and street."""
+    """Places (POI) from (id, lat, lng, tags, kind): valid tags, and a name or both house number and street. poi_id is place_key; without a kind the ids are taken as they are."""
     t = F.col("tags")
+    key = place_key(F.col("id"), F.col("kind")) if "kind" in elements.columns else F.col("id")
     out = elements.where(valid_tags(t)).select(
-        F.col("id").alias("poi_id"), names(t).alias("names"), t["addr:housenumber"].alias("house_number"), t["addr:street"].alias("road"), t["addr:unit"].alias("unit"), "lat", "lng", "tags", F.lit(source).alias("source")
+        key.alias("poi_id"), names(t).alias("names"), t["addr:housenumber"].alias("house_number"), t["addr:street"].alias("road"), t["addr:unit"].alias("unit"), "lat", "lng", "tags", F.lit(source).alias("source")
     )
     return out.where((F.size("names") > 0) | (F.col("house_number").isNotNull() & F.col("road").isNotNull()))
 
