@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -71,3 +72,51 @@ def test_no_labels(spark):
     m = urls.train(urls.rule_labels(df, urls.RULES))
     assert urls.judge(df, m).first().verdict == "allow"
     assert urls.judge(df.limit(0), m).count() == 0
+
+
+def walk(model, url):
+    """The score of one URL by walking every tree from its root."""
+    x = [*urls.lexical(url), *(r.get(s, model.rate) for r, s in zip(model.rates, urls.suffixes(url), strict=True))]
+    z = model.prior
+    for t in range(len(model.leaves)):
+        node = 0
+        for level in range(urls.DEPTH):
+            f = model.feature[t][2**level - 1 + node]
+            right = sum(e <= x[f] for e in model.edges[f]) > model.bin[t][2**level - 1 + node]
+            node = 2 * node + right
+        z += model.leaves[t][node]
+
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_trees_walked_one_by_one(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    model = urls.train(urls.rule_labels(pages, urls.RULES))
+    source = {r.page_id: r.url for r in pages.collect()}
+    got = urls.op2_boosted_urls(spark, sf).collect()
+    for r in got:
+        assert r.score == pytest.approx(walk(model, source[r.page_id]), abs=1e-9)
+        assert r.rule or r.verdict == ("block" if walk(model, source[r.page_id]) >= 0.5 else "allow")
+
+
+def test_first_split_is_the_best_of_all():
+    """The root of the first tree: the gain of every feature and bin by plain sums."""
+    r = random.Random(9)
+    rows = [f"http://{'h' * r.randint(1, 9)}.net/{'a' * r.randint(0, 9)}{'?x=1' if r.random() < 0.5 else ''}" for _ in range(300)]
+    labels = [int("?" in u or r.random() < 0.2) for u in rows]
+    m = urls.fit(rows, labels)
+    x = np.array([urls.lexical(u) for u in rows])
+    p = np.mean(labels)
+    best = None
+    for f in range(x.shape[1]):
+        for c in range(len(m.edges[f]) + 1):
+            left = np.array([sum(e <= v for e in m.edges[f]) <= c for v in x[:, f]])
+            g = np.array(labels) - p
+            h = np.full(len(g), p * (1 - p))
+            if h[left].sum() < 0.5 or h[~left].sum() < 0.5:
+                continue
+            gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+            best = max(best or (0, 0, 0), (gain, -f, -c))
+    if m.feature[0][0] < x.shape[1]:
+        assert (m.feature[0][0], m.bin[0][0]) == (-best[1], -best[2])
