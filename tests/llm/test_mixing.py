@@ -89,3 +89,27 @@ def test_room_and_zero_shares_of_other():
     assert mixing.with_other({"a": 0.5, "b": 0.4}, ["a", "b", "other"], have) == pytest.approx([0.5, 0.4, 0.1])
     assert mixing.with_other({"a": 0.5, "b": 0.5, "other": 0.0}, ["a", "b", "other"], have) == pytest.approx([0.5, 0.5, 0.0])
     assert mixing.with_other({"a": 0.5, "b": 0.5}, ["a", "b", "other"], np.array([6.0, 4.0, 0.0])) == pytest.approx([0.5, 0.5, 0.0])
+
+
+def plain_raking(cells, targets, rounds=2000):
+    """Dictionary cells scaled to each margin in turn, one after another."""
+    total = sum(cells.values())
+    w = {k: v / total for k, v in cells.items()}
+    for _ in range(rounds):
+        for axis, want in enumerate(targets):
+            have = {}
+            for k, v in w.items():
+                have[k[axis]] = have.get(k[axis], 0) + v
+            room = sum(want[c] for c, v in have.items() if v)
+            w = {k: v * want[k[axis]] / room / have[k[axis]] if have[k[axis]] else 0 for k, v in w.items()}
+    return w
+
+
+def test_rake_equals_a_plain_loop():
+    r = np.random.default_rng(3)
+    have = r.random((5, 4, 3)) * (r.random((5, 4, 3)) < 0.8)
+    have[2] = 0  # a category with a target and no tokens
+    targets = [np.array([0.1, 0.2, 0.2, 0.3, 0.2]), np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.6, 0.3, 0.1])]
+    want = plain_raking({k: float(have[k]) for k in np.ndindex(have.shape)}, [dict(enumerate(t)) for t in targets])
+    got = mixing.rake(have, targets, 2000)
+    assert all(got[k] == pytest.approx(v, abs=1e-7) for k, v in want.items())
