@@ -57,6 +57,20 @@ def forget(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+#: Bytes of files up to which a table made by save() is broadcast.
+SMALL = 8_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it was made by save() and its files are small; else as it is."""
+    path = getattr(df, "_placeloom_path", None)
+    if path:
+        fs, p = _fs(df.sparkSession, path)
+        if fs.getContentSummary(p).getLength() <= SMALL:
+            return F.broadcast(df)
+    return df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _CREATED:

@@ -8,9 +8,8 @@ signatures is the share of equal minima.
 
 ``near_classes`` joins signatures on bands in Spark and verifies the Jaccard
 similarity of the shingle sets. Equal shingle sets are one class with one
-representative; within a band the members of a bucket meet the bucket's smallest
-representative first, and only those whose clusters differ after that meet each
-other, so a large group costs its size and no link between different texts is lost.
+representative; see cluster.py for how a large bucket costs its size and no link
+between different texts is lost.
 
 Defined results: null and empty texts have no shingles and an empty fingerprint;
 two empty fingerprints have likeness 1, an empty and another one 0; texts of any
@@ -144,17 +143,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "node", "bands", "payload"])
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
+def _compared(pairs: DataFrame, extras: bool, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                sims.append(both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"]).filter(pa.array([s >= threshold for s in sims], pa.bool_()))
-
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary, similarity double")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sims, shared, more = [], [], []
+                for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    s = both / (len(x) + len(y) - both)
+                    sims.append(s if s >= threshold else None)
+                    shared.append(both)
+                    more.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64).tolist() if extras else [])
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64()), pa.array(shared, pa.int64()), pa.array(more, pa.list_(pa.int64()))], names=["a", "b", "similarity", "shared", "extras"])
+
+    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary, similarity double, shared long, extras array<long>")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             sets = [np.frombuffer(p, np.int64) for p in part.column("payload").to_pylist()]
             which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(which)), pa.array(np.concatenate(sets)), pa.array(np.ones(len(which), np.int64))], names=["node", "shingle", "times"])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(which)), pa.array(np.concatenate(sets))], names=["node", "shingle"])
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,7 +178,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def payloads(nodes: DataFrame) -> DataFrame:
         return found.select("node", "payload").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload"))
 
-    _, roots = link(bands, payloads, lambda pairs: _verified(pairs, threshold), lambda pool: pool.select("node", "payload").mapInArrow(_shingles, "node binary, shingle long, times long"), threshold)
+    _, roots = link(bands, payloads, lambda pairs, extras: _compared(pairs, extras, threshold), lambda pool: pool.select("node", "payload").mapInArrow(_shingles, "node binary, shingle long"), threshold)
     first = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = first.join(first.groupBy("root").agg(F.min("first").alias("class")), "root").select("node", "class")
     return found.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class"))
