@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -28,7 +29,11 @@ def main(argv: list[str] | None = None) -> None:
     query.add_argument("--index", required=True)
     query.add_argument("--bbox")
     query.add_argument("--tags")
-    query.add_argument("q")
+    query.add_argument("q", nargs="?", help="without it, a query is read from each line of the input until an empty one")
+    serve = sub.add_parser("serve")
+    serve.add_argument("--index", required=True)
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=3000)
     compact = sub.add_parser("compact")
     compact.add_argument("--index", required=True)
     compact.add_argument("--to")
@@ -44,7 +49,11 @@ def main(argv: list[str] | None = None) -> None:
         nodes, ways = (pbf.read_pbf(spark, a.extract, k) for k in ("nodes", "ways"))
         api.build_index(spark, a.index, nodes, ways, tables["place"], admin.read_polygons(spark, a.areas), tables["name"], tables["property"], [int(c) for c in a.countries.split(",") if c], lines, a.source, tuple(a.ignore), not a.envelopes)
     elif a.command == "query":
-        print(api.respond(PlaceIndex.open(spark, a.index), a.q, a.tags, True, a.bbox))
+        index = PlaceIndex.open(spark, a.index)
+        for q in [a.q] if a.q is not None else iter(lambda: sys.stdin.readline().strip(), ""):
+            print(api.respond(index, q, a.tags, True, a.bbox), flush=True)
+    elif a.command == "serve":
+        api.serve(PlaceIndex.open(spark, a.index), a.host, a.port).serve_forever()
     else:
         print(PlaceIndex.open(spark, a.index).compact(a.to).path)
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,9 @@ def build_index(spark: SparkSession, path: str, nodes: DataFrame, ways: DataFram
     return index
 
 
-def search_batch(index: PlaceIndex, requests: Sequence[Request], top: int = 10, exact_box: bool = False) -> DataFrame:
-    """Result rows of many requests in one plan."""
+def search_batch(index: PlaceIndex, requests: Sequence[Request], top: int = 10, exact_box: bool = False, regions: Sequence = ()) -> DataFrame:
+    """Result rows of many requests in one plan. A remote index is asked for whole words and phrases. regions (factors for boxes) are taken and change nothing."""
+    requests = [replace(r, remote=r.remote or index.remote) for r in requests]
     return results(ranked(index.postings, index.tag_postings, index.pois, requests, top, exact_box, index.vocabulary()), index.pois)
 
 
@@ -38,3 +42,36 @@ def respond(index: PlaceIndex, q: str, tags: str | None = None, leniency: bool |
     rows = search(index, q, bool(leniency), tags, bbox).collect()  # at most ten
     features = [{"source": r.source, "admins": r.admins, "s2cell": r.s2cell % (1 << 64), "lat": r.lat, "lng": r.lng, "tags": sorted(map(list, r.tags.items()))} for r in rows]
     return json.dumps({"metadata": {"query": {"q": q, "tags": tags, "leniency": leniency, "bbox": bbox}}, "features": features}, ensure_ascii=False)
+
+
+def handler(index: PlaceIndex) -> type[BaseHTTPRequestHandler]:
+    """Answers ``GET /search?q=&tags=&leniency=&bbox=`` with respond()'s JSON, any error with status 500 and its text, other paths with 404; any origin may read."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:  # noqa: N802
+            url = urlsplit(self.path)
+            asked = {k: v[-1] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
+            status, kind = 200, "application/json"
+            if url.path != "/search":
+                status, kind, body = 404, "text/plain", "not found"
+            else:
+                try:
+                    body = respond(index, asked["q"], asked.get("tags"), {"true": True, "false": False, None: None}[asked.get("leniency")], asked.get("bbox"))
+                except Exception as e:  # noqa: BLE001  the service maps every error to one status
+                    status, kind, body = 500, "text/plain", f"{type(e).__name__}: {e}"
+            data = body.encode()
+            self.send_response(status)
+            for name, value in (("Content-Type", f"{kind}; charset=utf-8"), ("Access-Control-Allow-Origin", "*"), ("Content-Length", str(len(data)))):
+                self.send_header(name, value)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args) -> None:
+            pass
+
+    return Handler
+
+
+def serve(index: PlaceIndex, host: str = "127.0.0.1", port: int = 3000) -> ThreadingHTTPServer:
+    """A server that is bound and not yet running: call serve_forever()."""
+    return ThreadingHTTPServer((host, port), handler(index))

@@ -13,6 +13,15 @@ TOKEN_BYTES = 40
 #: Letters that fold to more than one letter or have no decomposition.
 EXPANSIONS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ĳ": "ij", "Ĳ": "IJ"}
 SINGLES = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T", "’": "'", "‘": "'"}
+#: Cyrillic and Greek letters in Latin ones.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "'", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "і": "i", "ї": "i", "є": "ie", "ґ": "g",
+}
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s",
+    "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
 _SPACE = r"[ \t\r\n]+"
 
 
@@ -29,18 +38,42 @@ def _latin() -> dict[str, str]:
 LATIN = _latin()
 
 
+def _scripts() -> dict[str, str]:
+    """Cyrillic and Greek letters in both cases, Greek also with marks, to Latin letters."""
+    out = {}
+    for low, latin in (CYRILLIC | GREEK).items():
+        out[low] = latin
+        if len(low.upper()) == 1:
+            out[low.upper()] = latin.capitalize()
+    for code in range(0x0386, 0x03CF):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base in out:
+            out.setdefault(chr(code), out[base])
+    return out
+
+
+SCRIPTS = _scripts()
+_OTHER = r"[\u0370-\u04FF]"
+
+
 def fold(c: Column) -> Column:
-    """Latin letters without marks; other scripts stay as they are."""
+    """Latin letters without marks, Cyrillic and Greek in Latin letters; other scripts stay as they are. Texts without such letters skip that part."""
     for a, b in EXPANSIONS.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, "".join(LATIN), "".join(LATIN.values()))
+    c = F.translate(c, "".join(LATIN), "".join(LATIN.values()))
+    single = {a: b for a, b in SCRIPTS.items() if len(b) == 1}
+    other = F.translate(c, "".join(single), "".join(single.values()))
+    for a, b in SCRIPTS.items():
+        if len(b) > 1:
+            other = F.replace(other, F.lit(a), F.lit(b))
+    return F.when(c.rlike(_OTHER), other).otherwise(c)
 
 
 def fold_text(s: str) -> str:
     """fold() of one string, on the driver."""
     for a, b in EXPANSIONS.items():
         s = s.replace(a, b)
-    return s.translate(str.maketrans(LATIN))
+    return s.translate(str.maketrans(LATIN | SCRIPTS))
 
 
 def index_tokens(c: Column) -> Column:

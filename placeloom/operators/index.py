@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Schemes of paths that count as remote.
+REMOTE = ("http", "https", "s3", "s3a", "gs", "abfs", "abfss", "wasbs")
 TABLES = ("pois", "postings", "tag_postings", "vocabulary")
 
 
@@ -48,6 +50,11 @@ class PlaceIndex:
         """An index to write to; made by the first write if absent."""
         return cls(spark, path)
 
+    @property
+    def remote(self) -> bool:
+        """Whether the folder lies in a store that is reached over a network by object: searches then look for whole words and phrases only."""
+        return self.path.split("://")[0] in REMOTE if "://" in self.path else False
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 

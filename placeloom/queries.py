@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, roads, s2, text
 from .operators import enrich, osm, search
+from .operators.polygons import PolygonIndex
 from .operators.index import PlaceIndex, postings, tag_postings, vocabulary
 from .plans.clauses import Box, Request, clauses, parse_request
 from .plans.covering import covering
@@ -327,6 +328,22 @@ def j2_fn27_triangles_with_holes(spark, sf):
     return geo.polygons_at(points, shapes, "x", "y", step=500.0).select(F.col("pid").alias("id"), F.col("id").alias("area"))
 
 
+@query(f"SELECT id, area FROM (SELECT id, (1000 + n_nationkey)::VARCHAR AS area, row_number() OVER (PARTITION BY id ORDER BY (1000 + n_nationkey)::VARCHAR) AS r FROM ({_POINTS}) JOIN ({_STRIPES}) ON lng BETWEEN west AND east AND lat BETWEEN -85 AND 85) WHERE r = 1")
+def top3_first_polygon(spark, sf):
+    """Of each point one polygon at most: points on an edge lie in two."""
+    points = _nodes(spark, sf).select(F.col("id").alias("pid"), "lat", "lng")
+    got = PolygonIndex(_polygons(spark, sf).where("id >= 1000")).at(points, "lng", "lat", step=5.0, most=1, key="pid")
+    return got.select(F.col("pid").alias("id"), F.col("id").alias("area"))
+
+
+@query("SELECT count(*) AS n, false AS empty FROM nation")
+def agg12_src13_polygon_index(spark, sf):
+    path = _folder(spark)
+    PolygonIndex.load_or_build(spark, path, lambda: _polygons(spark, sf).where("id >= 1000"))
+    saved = PolygonIndex.load_or_build(spark, path, lambda: 1 / 0)
+    return spark.createDataFrame([(len(saved), saved.is_empty())], "n long, empty boolean")
+
+
 @query("SELECT 2 * p_partkey AS doc_id, p_name AS content FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT 2 * l_orderkey + 1, 'order ' || l_orderkey FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey HAVING count(p_partkey) > 0 OR l_orderkey % 97 = 0")
 def snk2_fn13_place_keys(spark, sf):
     """Nodes and ways share numbers: each is a place of its own."""

@@ -238,3 +238,35 @@ def test_query_equals_sql(spark, name):
     whole = lambda v: float(v) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else v  # noqa: E731  nullable integers come as floats
     flat = lambda df: sorted(tuple(show(whole(v)) for v in r) for r in df[key].astype(object).itertuples(index=False))
     assert flat(got) == flat(want)
+
+
+def test_scripts_fold(spark):
+    words = {"Москва": "Moskva", "Щука Юг": "Shchuka Iug", "Αθήνα": "Athena", "Ψυχή Ωμέγα": "Psukhe Omega", "Café Ж": "Cafe Zh", "東京 مكة": "東京 مكة", "plain": "plain"}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r.w: r.f for r in df.select("w", text.fold("w").alias("f")).collect()} == words
+    assert all(text.fold_text(w) == f for w, f in words.items())
+
+
+def test_service_and_remote(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    rows = spark.createDataFrame([(1, ["red mill"], ["shop=a"], 0, "osm", {"name": "red mill"})], "doc_id long, content array<string>, indexed_tag array<string>, s2key long, source string, tags map<string,string>")
+    rows = rows.withColumn("s2cell", F.lit(s2.from_lat_lng(1.0, 2.0)).cast("long") if hasattr(s2, "from_lat_lng") else F.lit(1152921504606846977)).withColumn("s2cell_parents", F.array("s2cell"))
+    index = PlaceIndex.create(spark, str(tmp_path / "index"))
+    index.write(rows)
+    server = api.serve(index, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = lambda q: urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}{q}")
+    got = ask("/search?q=red%20mi&leniency=true")
+    assert got.headers["Access-Control-Allow-Origin"] == "*" and len(json.loads(got.read())["features"]) == 1
+    for path, status in (("/search?tags=a", 500), ("/search?q=a&leniency=maybe", 500), ("/else", 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            ask(path)
+        assert e.value.code == status
+    server.shutdown()
+    assert not index.remote and PlaceIndex(spark, "s3a://bucket/index").remote and PlaceIndex(spark, "https://host/index").remote
+    far = PlaceIndex(spark, index.path)
+    far.__class__ = type("Far", (PlaceIndex,), {"remote": True})
+    assert api.search(far, "red mi", lenient=True).count() == 0 and api.search(far, "red mill", lenient=True).count() == 1
