@@ -12,7 +12,7 @@ from .text import ascii_words, sanitize
 LANGUAGES = {"eng": "en", "cat": "ca", "spa": "es", "ara": "ar", "fra": "fr", "deu": "de", "ita": "it", "por": "pt", "rus": "ru", "zho": "zh"}
 #: A small dictionary for tests and for use without files; lines as in the files.
 SAMPLE = {
-    "eng": ["avenue|ave|av|aven", "street|st|str", "road|rd", "north|n", "saint|st"],
+    "eng": ["avenue|ave|avn", "street|st|strt", "road|rd", "north|n", "saint|st"],
     "cat": ["carrer|c|c/"],
     "fra": ["rue|r", "avenue|av|ave"],
 }

@@ -159,7 +159,7 @@ def src9_fn9_agg7_dictionary(spark, sf):
     return roads.dictionary(roads.sample_lines(spark)).select("lang", "key", F.array_join("subs", "|").alias("subs"))
 
 
-_ROAD_SQL = """WITH o(suffix, opt) AS (VALUES ('ave', 'ave'), ('ave', 'avenue'), ('ave', 'av'), ('ave', 'aven'), ('st', 'st'), ('st', 'street'), ('st', 'str'), ('st', 'saint'), ('rd', 'rd'), ('rd', 'road'))
+_ROAD_SQL = """WITH o(suffix, opt) AS (VALUES ('ave', 'ave'), ('ave', 'avenue'), ('ave', 'avn'), ('st', 'st'), ('st', 'street'), ('st', 'strt'), ('st', 'saint'), ('rd', 'rd'), ('rd', 'road'))
 SELECT p_partkey AS id, p_name || ' ' || opt AS road FROM part JOIN o ON suffix = ['ave', 'st', 'rd'][p_partkey % 3 + 1]"""
 
 
