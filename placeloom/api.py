@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.roads import parse_lines, subs_map
 from .operators import enrich, osm
 from .operators.index import PlaceIndex
-from .operators.search import ranked, results
+from .operators.search import EXPANSIONS, ranked, results
 from .plans.clauses import Request, parse_request
 
 
@@ -26,10 +26,10 @@ def build_index(spark: SparkSession, path: str, nodes: DataFrame, ways: DataFram
     return index
 
 
-def search_batch(index: PlaceIndex, requests: Sequence[Request], top: int = 10, exact_box: bool = False, regions: Sequence = ()) -> DataFrame:
+def search_batch(index: PlaceIndex, requests: Sequence[Request], top: int = 10, exact_box: bool = False, regions: Sequence = (), expansions: int | None = EXPANSIONS) -> DataFrame:
     """Result rows of many requests in one plan. A remote index is asked for whole words and phrases. regions (factors for boxes) are taken and change nothing."""
     requests = [replace(r, remote=r.remote or index.remote) for r in requests]
-    return results(ranked(index.postings, index.tag_postings, index.pois, requests, top, exact_box, index.vocabulary()), index.pois)
+    return results(ranked(index.postings, index.tag_postings, index.pois, requests, top, exact_box, index.vocabulary(), expansions), index.pois)
 
 
 def search(index: PlaceIndex, q: str, lenient: bool = False, tags: str | None = None, bbox: str | None = None) -> DataFrame:

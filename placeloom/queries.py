@@ -6,6 +6,7 @@ orders whose refs are parts; areas are nations as stripes of longitude, countrie
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -475,8 +476,19 @@ def qry10_fn1_clauses(spark, sf):
 
 
 def _folder(spark) -> str:
+    """A new folder for index tables, in the shared folder if there is one; deleted when the program ends, as results are read from it until then."""
     base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "placeloom")
-    return f"{base}/index-{uuid.uuid4().hex}"
+    home = f"{base}/index-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, home)
+    return f"{home}/index"
+
+
+def _remove(spark, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session has ended before us
+        return
 
 
 @query("SELECT p_partkey AS doc_id, p_name AS content, p_brand AS shop FROM part")

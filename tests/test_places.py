@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from placeloom import api, queries
 from placeloom.functions import geo, roads, s2, text
+from placeloom.operators import index as search_index
 from placeloom.operators.index import PlaceIndex
 from placeloom.plans import clauses as C
 from placeloom.plans.covering import bounds, children, covering, normalized
@@ -270,3 +271,15 @@ def test_service_and_remote(spark, tmp_path):
     far = PlaceIndex(spark, index.path)
     far.__class__ = type("Far", (PlaceIndex,), {"remote": True})
     assert api.search(far, "red mi", lenient=True).count() == 0 and api.search(far, "red mill", lenient=True).count() == 1
+
+
+def test_expansions(spark):
+    """The last word of a phrase stands for the first terms only; None takes all."""
+    from placeloom.operators import search
+
+    pois = spark.createDataFrame([(i, [f"red m{i:02d}"], []) for i in range(60)], "doc_id long, content array<string>, indexed_tag array<string>")
+    post = search_index.postings(pois)
+    table = search.clause_table(spark, [C.Request(1, "red m")]).where("not must")
+    n = F.lit(60.0)
+    for most, count in ((50, 50), (7, 7), (None, 60)):
+        assert search.phrase_hits(table, post, search_index.vocabulary(post), n, None, most).count() == count
