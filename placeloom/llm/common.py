@@ -24,11 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one if unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.placeloom.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="placeloom-")
-        spark.conf.set("spark.placeloom.dir", base) if not spark.conf.get("spark.placeloom.dir", None) else None
-        base = spark.conf.get("spark.placeloom.dir")
+        spark.conf.set("spark.placeloom.dir", base)
     return base
 
 
