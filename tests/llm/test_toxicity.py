@@ -80,3 +80,21 @@ def test_sample_is_bounded_and_the_same(spark):
     assert 0 < len(few) < 50 and sum(map(len, few)) <= 3000
     assert len(tx.sample(docs, labels, rows=7)[0]) <= 7
     assert tx.sample(docs.limit(0), labels) == ([], [], [])
+
+
+def test_all_labelled_rows_train(spark, monkeypatch):
+    """No row is left out by a bound on the sample, several shards and partitionings give one model, and it tells classes apart."""
+    monkeypatch.setattr(tx, "SAMPLE", 50)
+    texts, labels, langs = corpus(700, seed=3)
+    docs = spark.createDataFrame([*((i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))), (3, "~ " + texts[3], "en"), (9000, "not labelled", "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    coded = tx.labelled(docs, marks).collect()
+    assert sorted(r.doc_id for r in coded) == list(range(700)) and all(r.text == texts[r.doc_id] for r in coded)
+    one, two = tx.train(docs, marks, size=150), tx.train(docs.repartition(7), marks.repartition(3), size=150)
+    monkeypatch.setattr(tx, "FAN", 2)  # averaged in levels
+    levels = tx.train(docs, marks, size=150)
+    assert abs(levels.table - one.table).max() < 1e-2
+    assert (one.table == two.table).all() and one.thresholds == two.thresholds and one.slope == two.slope
+    other, wanted, _ = corpus(300, seed=4)
+    assert ((tx.logits(one, other) >= 0) == np.array(wanted, bool)).mean() > 0.9
+    assert max(abs(tx.raw_logit(one, c) - z) for c, z in zip(tx.coded_texts(other), tx.logits(one, other), strict=True)) < 1e-3
